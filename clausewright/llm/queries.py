@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, leakage, rankwalk, tokens
+from . import chunking, leakage, neardup, rankwalk, tokens
 
 ARMS = ("lexical", "dense", "rerank", "keyword")
 
@@ -47,6 +47,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_ranking(spark, d).where(F.col("rank") <= 5).select("query_id", "chunk_id")
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every clause that takes part with its group of near-duplicates."""
+    clauses = table(spark, d, "clauses", "chunk_id", "heading", "text")
+    return neardup.near_duplicates(clauses, "chunk_id", "text", "heading", neardup.CLAUSE_RULE).select("chunk_id", F.col("group").alias("group_id"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The clauses of groups of at least two."""
+    groups = p5_groups(spark, d)
+    shared = groups.groupBy("group_id").count().where("count > 1").select("group_id")
+    return groups.join(shared, "group_id").select("chunk_id", "group_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
@@ -60,5 +73,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_ranking, p7_ids, p8_found, p8_leaks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_ranking, p5_found, p5_groups, p7_ids, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
