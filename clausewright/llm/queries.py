@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, leakage, neardup, rankwalk, tokens, vptree
+from . import chunking, leakage, markup, neardup, rankwalk, tokens, vptree
 
 #: A pair's distances to a vantage point differ far less than its own distance: at a
 #: cosine of 0.957 (the usual near copy) by 0.026, at 0.85 by 0.048 (one standard
@@ -51,6 +51,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_ranking(spark, d).where(F.col("rank") <= 5).select("query_id", "chunk_id")
 
 
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every clause as clean text, with the kinds of markup found."""
+    return markup.clean_markup(table(spark, d, "clauses", "chunk_id", "text"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each clause that holds markup with each kind."""
+    marked = markup.clean_markup(table(spark, d, "clauses", "chunk_id", "text"), only_marked=True)
+    return marked.select("chunk_id", F.explode("kinds").alias("markup"))
+
+
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every clause that takes part with its group of near-duplicates."""
     clauses = table(spark, d, "clauses", "chunk_id", "heading", "text")
@@ -95,5 +106,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_ranking, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_found, p8_leaks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_ranking, p3_clean, p3_found, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_found, p8_leaks)}
 SQL: dict[str, str] = {}
