@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, leakage, markup, neardup, rankwalk, tokens, vptree
+from . import chunking, leakage, markup, neardup, rankwalk, residue, tokens, vptree
 
 #: A pair's distances to a vantage point differ far less than its own distance: at a
 #: cosine of 0.957 (the usual near copy) by 0.026, at 0.85 by 0.048 (one standard
@@ -106,5 +106,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_ranking, p3_clean, p3_found, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_found, p8_leaks)}
+def p9_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents", "doc_id", "text", "source"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are templates, filler, error pages or script notices."""
+    return p9_residue(spark, d).select("doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_pieces, p2_found, p2_ranking, p3_found, p3_clean, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_found, p8_leaks, p9_found, p9_residue)
+}
 SQL: dict[str, str] = {}
