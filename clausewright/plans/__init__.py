@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import diffs
+from . import catalogue, diffs, relational
 from .registry import Query, Registry
 
-MODULES = (diffs,)
+MODULES = (catalogue, diffs, relational)
 
 
 def _registries() -> list[Registry]:
