@@ -49,7 +49,7 @@ _SCRIPTS = r"(?:javascript|js|scripts?|(?:active )?scripting|script execution|a
 _ERRORS = [
     rf"^(?:error )?#+ {_STATUS}\b.{{0,40}}$",
     rf"^(?:error|http|code|status|reason)\s?[: ]\s?(?:error )?(?:#+)?\s*\(?{_STATUS}?\)?[.!]?$",
-    r"^error #+\b.{0,60}$",
+    r"^error #+.{0,60}$",
     rf"^{_STATUS}[.!]?$",
     r"^(?:something went wrong|request failed|service error|oops|page not found|access (?:is )?denied|server error|application error|(?:an|the) (?:unexpected|internal|unknown) error (?:has )?occurred)\b.{0,50}$",
     rf"^(?:sorry|oops|we apologi[sz]e|unfortunately)?[,.:!]?\s*(?:the|this|that|your)\s(?:requested\s)?(?:{_THING}\b.{{0,90}}|{_WHICH}\b.{{0,60}}) ?\b{_GONE}\b.{{0,60}}$",
@@ -67,7 +67,7 @@ _ERRORS = [
     r"^erreur #+ ?:.{0,120}$",
     r"^la page demandée\b.{0,40}\b(?:introuvable|indisponible)\b.{0,60}$",
     r"^die angeforderte seite\b.{0,40}\bnicht\b.{0,60}$",
-    r"^(?:fehler #+|es ist ein fehler aufgetreten)\b.{0,60}$",
+    r"^(?:fehler #+|es ist ein fehler aufgetreten).{0,60}$",
     r"^se ha producido un error\b.{0,60}$",
     r"^la página solicitada\b.{0,60}$",
     r"^错误 ?#*.{0,40}$",
