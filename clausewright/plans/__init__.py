@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalogue, diffs, relational
+from . import catalogue, diffs, evolution, relational, retrieval
 from .registry import Query, Registry
 
-MODULES = (catalogue, diffs, relational)
+MODULES = (catalogue, diffs, relational, retrieval, evolution)
 
 
 def _registries() -> list[Registry]:
