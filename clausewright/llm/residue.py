@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_code, spread
+from ..session import cut_lineage, ship_code, spread
 
 #: A message known in part counts from so many documents and sources on.
 RECURRING_DOCS = 5
@@ -236,7 +236,8 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             hit = [d for d in done if d[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array([h[c] for h in hit], out_schema.field(c + 2).type) for c in range(3))], schema=out_schema)
 
-    classed = rows.mapInArrow(run, schema)
+    # kept: the rows found are few, and both the counts and the result need them
+    classed = cut_lineage(rows.mapInArrow(run, schema))
     # two-step distinct count: a message of very many documents is first combined per source
     spreads = classed.groupBy("code", F.coalesce("source", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sources"))
     return (
