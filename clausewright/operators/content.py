@@ -23,8 +23,9 @@ class Content:
 
 
 def content_id(*parts: Column) -> Column:
-    """Id of content: 32 hex digits of its SHA-256, null parts told from empty ones."""
-    tagged = [F.coalesce(F.concat(F.lit("="), F.base64(F.encode(p, "UTF-8"))), F.lit("-")) for p in parts]
+    """Id of content: 32 hex digits of its SHA-256. Each part goes in after its length
+    (-1 for null), so neither nulls and empty texts nor neighbouring parts mix."""
+    tagged = [x for p in parts for x in (F.coalesce(F.length(p), F.lit(-1)).cast("string"), F.coalesce(p, F.lit("")))]
     return F.substring(F.sha2(F.concat_ws("|", *tagged), 256), 1, 32)
 
 

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from ..session import ship_code
+from ..session import ship_code, spread
 
 #: Usual BM25 parameters.
 K1, B = 1.2, 0.75
 #: Query vectors that go to every executor at once; more are worked off in passes.
 MAX_QUERY_VECTORS = 20_000
+#: Distinct query tokens (with their queries) that are broadcast; beyond that the joins shuffle.
+MAX_QUERY_TOKENS = 500_000
 
 
 def top_k(scored: DataFrame, k: int, ties: Sequence[str | Column], by: str = "query_id") -> DataFrame:
@@ -37,15 +39,22 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     counted.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(query_text))).alias("token"))
-    toks = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t"))
-    stats = toks.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("t")).alias("avgdl"))
-    wanted = q.select("token").distinct()
-    postings = toks.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats)).select("token", "avgdl", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # stats is one row
+    toks = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "doc_id").select("doc_id", tokens("t").alias("t"))
+    # every document also has one posting of the empty token, whose rows count the
+    # documents and their lengths: texts are read and cut into tokens once
+    wanted = q.select("token").unionByName(docs.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    small = F.broadcast if wanted.count() <= MAX_QUERY_TOKENS else (lambda x: x)
+    each = toks.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token")).join(small(wanted), "token", "left_semi")
+    # laid out by document once: term counts, scores and sums per document need no further shuffle
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    postings = each.repartition(parts, "doc_id").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("mean_dl"))
+    stats = df.where("token = ''").select(F.col("df").alias("N"), F.col("mean_dl").alias("avgdl"))
+    idf = df.where("token <> ''").join(F.broadcast(stats)).select("token", "avgdl", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # stats is one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = postings.join(idf, "token").select("doc_id", "token", part.alias("s"))
-    return weighed.join(q, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    weighed = postings.join(small(idf), "token").select("doc_id", "token", part.alias("s"))
+    return weighed.join(small(q), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
 
 
 def sparse_scores(postings: DataFrame, query_terms: DataFrame) -> DataFrame:

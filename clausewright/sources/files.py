@@ -25,13 +25,17 @@ def decode(data: bytes) -> str:
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """(path, html) of a folder of HTML files."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").option("recursiveFileLookup", "true").load(path).select("path", _decoded(F.col("content")).alias("html"))
+    """(path, html) of a folder of HTML files, each decoded whole."""
+    from ..session import ship_code
+
+    ship_code(spark)
 
+    @F.pandas_udf(T.StringType())
+    def text(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: decode(bytes(b)))
 
-def _decoded(content: Column) -> Column:
-    """The bytes as text, in the JVM: UTF-8 where they are, else Windows-1252."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.htm*").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", text("content").alias("html"))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
