@@ -10,8 +10,8 @@ from . import chunking, leakage, markup, neardup, rankwalk, residue, tokens, vpt
 
 #: A pair's distances to a vantage point differ far less than its own distance: at a
 #: cosine of 0.957 (the usual near copy) by 0.026, at 0.85 by 0.048 (one standard
-#: deviation), and factor 0.2 leaves 0.11. Recall against factor 1: see the README.
-PAIR_RULE = vptree.VpRule(min_cosine=0.85, factor=0.2)
+#: deviation), and factor 0.15 leaves 0.08. Recall against factor 1: see the README.
+PAIR_RULE = vptree.VpRule(min_cosine=0.85, factor=0.15)
 ARMS = ("lexical", "dense", "rerank", "keyword")
 
 

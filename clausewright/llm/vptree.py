@@ -36,7 +36,7 @@ class VpRule:
     dim: int = 64
     leaf: int = 256
     #: Vectors per shard aimed at, which sets the depth of the routing tree.
-    shard_rows: int = 24_000
+    shard_rows: int = 50_000
     #: Vectors that the routing tree is fitted on; all vectors are indexed.
     sample_rows: int = 20_000
     #: Queries walked at once.
