@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_code
+from ..session import ship_code, spread
 
 #: Words in a row that count as a leak.
 WINDOW = 12
@@ -147,7 +147,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
             T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
         ]
     )
-    corpus = docs.select(docs[doc_id], docs[doc_text])
+    corpus = spread(docs.select(docs[doc_id].alias("doc_id"), docs[doc_text].alias("text")).where(F.col("text").isNotNull()), "doc_id")
     parts = []
     for t in _tables(items, item_id, item_text, n):
         sent = spark.sparkContext.broadcast(t)

@@ -27,7 +27,7 @@ from ..session import ship_code, spread
 
 KINDS = ("html", "markdown", "wiki", "latex")
 #: A text without any of these characters or pairs can hold no markup: filtered at the scan.
-CANDIDATE = r"[<&\\`~|]|\*\*|\*[A-Za-z]|__|\]\(|\[\^|- \[|\[\[|\{\{|''|(?m)^[ \t\x{A0}]*(?:#{1,6}[ \t\x{A0}]|#REDIRECT|>|={2,})|\$"
+CANDIDATE = r"[<&\\`~|]|\*\*|\*[A-Za-z]|__|\]\(|\[\^|[-*+][ \t\x{A0}]\[|\[\[|\{\{|''|(?m)^[ \t\x{A0}]*(?:#{1,6}[ \t\x{A0}]|#REDIRECT|>|={2,})|\$"
 
 # Element names. Of ``_SURE`` an opening tag alone is markup; those of ``_WORDS``
 # are also names in grammar rules or type parameters, and need attributes or their closing tag.

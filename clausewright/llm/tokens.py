@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..session import ship_code
+from ..session import ship_code, spread
 
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
@@ -93,7 +93,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = [encode(t, name, folder) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, ids_col])
 
-    return df.select(df[id_col], df[text_col]).mapInArrow(run, schema)
+    return spread(df.select(df[id_col], df[text_col]), id_col).mapInArrow(run, schema)
 
 
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
