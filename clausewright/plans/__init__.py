@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalogue, diffs, evolution, mining, relational, retrieval
+from . import catalogue, diffs, evolution, extended, mining, relational, retrieval
 from .registry import Query, Registry
 
-MODULES = (catalogue, diffs, relational, retrieval, evolution, mining)
+MODULES = (catalogue, diffs, relational, retrieval, evolution, mining, extended)
 
 
 def _registries() -> list[Registry]:
