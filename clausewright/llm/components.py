@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = cut_lineage(e)
-    last: tuple = ()
+    last = _print_of(e)
     for _ in range(MAX_ROUNDS):
         e = cut_lineage(_small_star(_large_star(e)))
         now = _print_of(e)
