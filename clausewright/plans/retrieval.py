@@ -146,7 +146,27 @@ def ret_20(spark: SparkSession, d: str) -> DataFrame:
     return A.top_k(h, 5, ["spec_id", "clause"]).select("query_id", "spec_id", "clause", F.col("rank").cast("long").alias("rank"))
 
 
-@add("search_spec")
+_SEARCH = (
+    _CA
+    + """, lx as (select query_id, spec_id, release, version, clause_path, chunk_id, 0 as l, row_number() over (partition by query_id order by score desc, spec_id, clause_path nulls first, chunk_id) as r from o where n = 1),
+sp as (select query_id, chunk_id, round(sum(q2.weight::double * p2.w), 9) as score from query_terms q2 join (select chunk_id, term_id, max(weight)::double as w from clause_sparse group by all) p2 using (term_id) group by all),
+sf as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r0 from sp) where r0 <= 88),
+sx as (select sf.query_id, c.spec_id, c.release, c.version, c.clause_path, c.chunk_id, 1 as l, row_number() over (partition by sf.query_id order by score desc, c.spec_id nulls first, c.release nulls first, c.version nulls first, c.clause_path nulls first, c.chunk_id) as r from sf join clauses c using (chunk_id)),
+al as (select * from lx where r <= 22 union all select * from sx where r <= 22),
+fu as (select query_id, spec_id, release, version, clause_path, round(sum(1.0::double / (60 + r)), 9) as score, arg_min(chunk_id, l * 1000 + r) as chunk_id from al group by query_id, spec_id, release, version, clause_path),
+fr as (select *, row_number() over (partition by query_id order by score desc, spec_id nulls first, release nulls first, version nulls first, clause_path nulls first) as rank from fu),
+hi as (select f.*, c.text, s2.query_text, list_filter(regexp_split_to_array(lower(concat_ws(' ', c.heading, c.text)), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') as pw, list_filter(regexp_split_to_array(lower(s2.query_text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') as qw from fr f join clauses c using (chunk_id) join search_queries s2 on s2.query_id = f.query_id where f.rank <= 22),
+rr as (select *, case when rank <= 12 then round(len(list_filter(pw, lambda x: list_contains(qw, x))) / (1 + len(pw) / 200.0::double), 9) end as rs from hi),
+fi as (select *, row_number() over (partition by query_id order by case when rank <= 12 then 0 else 1 end, rs desc nulls last, rank) as place from rr)
+select query_id, place as rank, chunk_id, spec_id, release, version, clause_path, score,
+case when length(trim(coalesce(text, ''))) > 400 then substr(trim(coalesce(text, '')), 1, 400) || '…' else trim(coalesce(text, '')) end as snippet,
+'3gpp://' || replace(replace(coalesce(spec_id, ''), '%', '%25'), ' ', '%20') || '/' || replace(replace(coalesce(release, ''), '%', '%25'), ' ', '%20') || case when coalesce(clause_path, '') <> '' then '/' || replace(replace(clause_path, '%', '%25'), ' ', '%20') else '' end || case when coalesce(version, '') <> '' then '@' || replace(replace(version, '%', '%25'), ' ', '%20') else '' end as resource,
+case when regexp_matches(query_text, '(?i)\\b(replace[sd]?|migration|evolution|maps to)\\b') then 'graph' when regexp_matches(query_text, '(?i)\\b(defined|definition|expansion|stands for)\\b') and regexp_matches(query_text, '\\b[A-Z][A-Z0-9]{1,7}\\b') then 'glossary' when regexp_matches(query_text, '\\bT[SR]\\s?[0-9][0-9]\\.[0-9]{3}\\b') then 'spec_lookup' else 'hybrid' end as intent
+from fi where place <= 10"""
+)
+
+
+@add("search_spec", _SEARCH)
 def search_spec(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every search query, hybrid, reranked, with citations."""
     return S.search_spec(_clauses(spark, d), table(spark, d, "clause_sparse"), table(spark, d, "search_queries"), table(spark, d, "query_terms"))
