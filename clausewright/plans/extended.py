@@ -235,3 +235,25 @@ def eval_04(spark: SparkSession, d: str) -> DataFrame:
     now = table(spark, d, "hit_out", "arm", "score").where("score is not null").groupBy(F.col("arm").alias("system")).agg(F.round(F.avg("score"), 6).alias("value")).withColumn("metric", F.lit("mean"))
     base = now.withColumn("value", F.col("value") + F.when(F.col("system") == "dense", 0.5).otherwise(0.0))
     return gate(now, base, 0.02)
+
+
+@add("lin_11_later_annex", f"with b as (select distinct spec_id, clause_path from clauses where release = 'Rel-15' and clause_path <> ''), l as (select spec_id, clause_path, min({ORD_SQL.format('release')})::int as first_later from clauses where clause_path <> '' and {ORD_SQL.format('release')} > 15 group by all) select l.* from l where not exists (select 1 from b where b.spec_id = l.spec_id and b.clause_path = l.clause_path)")
+def lin_11(spark: SparkSession, d: str) -> DataFrame:
+    """What the baseline lacks, with the first later release that has it."""
+    rows = table(spark, d, "clauses", "spec_id", "release", "clause_path").where("clause_path <> ''").withColumn("o", V.release_ordinal("release"))
+    later = rows.where("o > 15").groupBy("spec_id", "clause_path").agg(F.min("o").alias("first_later"))
+    return later.join(rows.where("release = 'Rel-15'"), ["spec_id", "clause_path"], "left_anti")
+
+
+@add("val_09_justified_edges", f"with e as (select * from (values {_EDGES_SQL}) v(from_term, to_term, evolution_type)), c as (select e.to_term, count(*) as n from e join (select distinct unnest(regexp_extract_all(coalesce(heading, '') || ' ' || coalesce(text, ''), '[A-Za-z0-9]+')) as word, chunk_id from clauses) w on w.word = e.to_term group by e.to_term) select e.from_term, e.to_term, coalesce(max(c.n), 0) > 0 as named from e left join c using (to_term) group by e.from_term, e.to_term")
+def val_09(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any clause names the target of each edge as a word."""
+    e = spark.createDataFrame(_EDGES, "from_term string, to_term string, evolution_type string")
+    words = table(spark, d, "clauses", "heading", "text").select(F.explode(F.regexp_extract_all(F.concat_ws(" ", "heading", "text"), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("to_term"))
+    named = words.join(F.broadcast(e.select("to_term").distinct()), "to_term", "left_semi").distinct().withColumn("named", F.lit(True))
+    return e.join(named, "to_term", "left").select("from_term", "to_term", F.coalesce("named", F.lit(False)).alias("named"))
+
+
+@add("inc_19_published_history", "select spec_id, version from spec_versions where status = 'published' group by spec_id, version")
+def inc_19(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "spec_versions", "spec_id", "version", "status").where("status = 'published'").select("spec_id", "version").distinct()
