@@ -5,7 +5,8 @@ is read as nodes, each with its path of tags from the root (``ul/li``,
 ``template``, ``env:itemize/item`` ...). Text length and punctuation are added
 up per path and divided by the path's nodes, smoothed along the order of
 paths, fused into one score and held against a threshold; paths below it hold
-no content (citations, anchors, categories, comments) and are left out.
+no content (citations, categories, comments) and are left out. Inline elements
+(sup, b, span, a ...) belong to the sentence and have the path of their block.
 Headings, lists, tables, code and formulas are structure and stay whatever
 their score.
 """
@@ -39,6 +40,7 @@ _WORDS = (
     "source track template slot frame frameset base cite dfn mark abbr address menu output picture video audio canvas svg"
 )
 _BLOCK = set("p div li ul ol dl dt dd table tr h1 h2 h3 h4 h5 h6 pre blockquote section article header footer hr caption center title".split())
+_INLINE = set("b i u s a q em tt sub sup del ins var kbd span code font strong small big cite dfn mark abbr time data nobr".split())
 _SKIP = {"script", "style", "head", "noscript"}
 _VOID = {"br", "hr", "img", "meta", "link", "input", "col", "base", "area"}
 
@@ -175,13 +177,20 @@ def _read_html(text: str, out: Reader) -> None:
     at, hidden = 0, 0
     known = _SURE_SET | _WORD_SET | {"cmt"}
 
+    def path() -> tuple[str, ...]:
+        """That of the nearest block: inline elements are part of its sentences."""
+        n = len(stack)
+        while n and (stack[n - 1] in _INLINE or ":" in stack[n - 1]):
+            n -= 1
+        return tuple(stack[:n]) or ("text",)
+
     def said(part: str) -> None:
         if not part or hidden:
             return
         part = html.unescape(part)
         if "pre" not in stack:
             part = re.sub(r"[ \t\r\n]+", " ", part) if stack else part
-        out.add(tuple(stack) or ("text",), part, keep=bool(_STRUCTURE & set(stack)) and "cmt" not in stack)
+        out.add(path(), part, keep=bool(_STRUCTURE & set(stack)) and "cmt" not in stack)
 
     for m in _TAG.finditer(text):
         name = m[2].lower()
@@ -198,7 +207,7 @@ def _read_html(text: str, out: Reader) -> None:
                         break
         elif name in _VOID or m[4]:
             if name in ("br", "hr"):
-                out.add(tuple(stack) or ("text",), "", block=True)
+                out.add(path(), "", block=True)
             continue
         else:
             if name in ("li", "tr", "td", "th", "p", "dt", "dd") and name in stack and name == stack[-1]:
@@ -207,7 +216,7 @@ def _read_html(text: str, out: Reader) -> None:
             hidden += name in _SKIP
         if name in _BLOCK:
             mark = "- " if name == "li" and not m[1] else ""
-            out.add(tuple(stack) or ("text",), mark, block=True, keep=bool(mark))
+            out.add(path(), mark, block=True, keep=bool(mark))
         elif name in ("td", "th") and m[1]:
             out.add((*stack, name), "\t", keep=True)
     said(text[at:])
@@ -350,14 +359,20 @@ THRESHOLD = 0.25
 
 
 def path_scores(nodes: list[Node]) -> dict[tuple[str, ...], float]:
-    """Fused text and punctuation ratio of each path, smoothed along the paths' order."""
+    """Fused text and punctuation ratio of each path, smoothed along the paths' order.
+
+    What inline elements cut a sentence into counts as one node.
+    """
     paths: dict[tuple[str, ...], list[float]] = {}
+    last = None
     for n in nodes:
         if n.text.strip():
             p = paths.setdefault(n.path, [0, 0, 0])
             p[0] += len(n.text.strip())
             p[1] += len(_PUNCTUATION.findall(n.text))
-            p[2] += 1
+            p[2] += n.block or n.path != last
+        if n.block or n.text.strip():
+            last = None if n.block else n.path
     ratios = [(t / n, c / n) for t, c, n in paths.values()]
 
     def smooth(x: list[float]) -> list[float]:

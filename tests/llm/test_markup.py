@@ -62,6 +62,23 @@ def test_structure_is_kept():
     assert out == "Text stays.\n\nMore text." and dropped
 
 
+@pytest.mark.parametrize("tag", ["sup", "b", "span", "a"])
+@pytest.mark.parametrize("before,after", [("", ""), ("<div>", "</div>"), ("> ~~No~~ ", "")])
+def test_inline_elements_belong_to_their_sentence(tag, before, after):
+    long = "Any session trailer shall omit any idle mask, unless the bearer, the carrier or the counter says so; see below. " * 12
+    text = f"{long}<br/>\n\n{before}{long}The value is 10<{tag}>4</{tag}> +/- 2 dB, of the <{tag}>next</{tag}> word.{after}"
+    out, kinds, left_out = clean_text(text)
+    assert kinds[0] == "html" and "The value is 104 +/- 2 dB, of the next word." in out and left_out == 0
+
+
+def test_inline_elements_do_not_thin_their_block():
+    r, whole = Reader(), Reader()
+    _read_html("<div>One, <b>two</b> and <i>three</i>. <a href='x'>Four</a>.</div>", r)
+    _read_html("<div>One, two and three. Four.</div>", whole)
+    assert set(path_scores(r.nodes)) == set(path_scores(whole.nodes)) == {("div",)}
+    assert path_scores(r.nodes)[("div",)] == pytest.approx(path_scores(whole.nodes)[("div",)], rel=0.1)
+
+
 def test_path_scores_prefer_text():
     r = Reader()
     _read_html("<div><p>A long sentence, with marks. And more.</p><span>x</span><p>Another, one. Two.</p></div>", r)
