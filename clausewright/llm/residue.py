@@ -3,8 +3,10 @@
 Method: each document is stripped of page navigation, titles and footers and
 its message is normalised (numbers, addresses, dates and names in code masked). Phrase and
 placeholder rules class it; equal normalised messages are grouped by hash
-across sources, and a message that the rules know only in part counts when it
-recurs widely, word for word, in several sources.
+across sources. A message that the rules know only in part counts when it
+recurs, word for word, in several sources; one that they don't know at all, in
+whatever language, when it holds no sign of content and recurs in a share of
+all documents and sources.
 """
 
 from __future__ import annotations
@@ -23,6 +25,12 @@ from ..session import cut_lineage, ship_code, spread
 #: A message known in part counts from so many documents and sources on.
 RECURRING_DOCS = 5
 RECURRING_SOURCES = 3
+#: An unknown message counts from such a share of all documents and of all sources on, and
+#: from the numbers above: a share does not fall as the corpus grows, as a number does.
+SHARE_DOCS = 1e-4
+SHARE_SOURCES = 0.01
+#: Words (or Chinese characters) that an unknown message has at least; fewer say nothing.
+UNKNOWN_WORDS = 5
 
 _NAME = r"[A-Za-z][\w.-]*(?:[ \xa0][\w.-]+){0,4}"
 # Forms of placeholders that a template leaves unfilled.
@@ -108,10 +116,13 @@ _NEXT_TO = re.compile(
 )
 #: Words by which a sentence is known as content, not as part of a page's message.
 _CONTENT = re.compile(r"\b(?:shall|should|may|might|can|could|able to|required to|expected to|need not|whenever|upon|unless|answers?|asks|logs)\b|[，。].*应|\b(?:gemäß|ohne|nach ablauf|selon|en cas|según|tras)\b")
+#: Further signs of content in a sentence of no known kind: open points, paths and code with braces.
+_OPEN = re.compile(r"\b(?:further study|ffs|tbd|to be (?:defined|determined|decided|confirmed)|editor'?s note)\b|[{}]|::=|\blorem ipsum\b")
 # Words of filler texts.
 _LOREM = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 _MASH = set("asdf qwer qwerty asdfg asdfgh hjkl yxcv zxcv foo bar baz bla blah xxx yyy zzz test tests testing dummy abc lorem".split())
 _WORD = re.compile(r"[^\W\d_]+")
+_UNIT = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 _LINE_END, _SPACES, _HAS_WORD = re.compile(r"\r\n|\r|\n"), re.compile(r"\s+"), re.compile(r"\w")
 _SEPARATED, _BULLET = re.compile(r" [|·>»›] "), re.compile(r"[*•-] \S")
@@ -173,46 +184,54 @@ def _filler(sentence: str) -> bool:
 def classify(text: str | None) -> tuple[str | None, bool, int]:
     """(reason, certain, hash of the normalised message) of one text.
 
-    reason is placeholder, message or filler; None for content. Not certain:
-    a known message next to sentences of no known kind. Reading ends at the
-    first sentence that is content.
+    reason is placeholder, message or filler; None for anything else. Not certain:
+    a known message next to sentences of no known kind. The hash leaves titles
+    out. Without a reason, a hash other than 0 marks a text without a sign of
+    content, which is a message if it recurs. Reading ends at the first
+    sentence that is content, as no text with it can be one.
     """
     if not text or not text.strip():
         return None, False, 0
     if placeholders(text):
         return "placeholder", True, _code(text)
-    strong, filler, unknown, words = 0, 0, 0, 0
+    strong, filler, unknown, words, content, kept = 0, 0, 0, 0, False, []
     for s in message(text):
+        m = masked(s)
+        bare = m.rstrip(" .!?。")
         if _filler(s):
             filler += 1
-            continue
-        title = _title(s)
-        m = masked(s).rstrip(" .!?。")
-        if _STRONG.match(m):
+        elif _STRONG.match(bare):
             strong += 1
-        elif not title and not _NEXT_TO.match(m):
-            if _CONTENT.search(s.lower()) or unknown >= 3:
+        elif not _NEXT_TO.match(bare):
+            if _title(s):
+                continue
+            if _CONTENT.search(s.lower()):
                 return None, False, 0
             unknown += 1
             words += len(s.split())
-    if not strong and not filler:
+            content = content or bool(_OPEN.search(s.lower()))
+        kept.append(m)
+    code = _code(" ".join(kept))
+    if (strong or filler) and unknown <= 3:
+        certain = unknown == 0 or (strong > 0 and unknown <= 2 and words <= 25)
+        return "message" if strong else "filler", certain, code
+    if content or len(_UNIT.findall(" ".join(kept))) < UNKNOWN_WORDS:
         return None, False, 0
-    certain = unknown == 0 or (strong > 0 and unknown <= 2 and words <= 25)
-    return "message" if strong else "filler", certain, _code(" ".join(message(text)))
+    return None, False, code
 
 
 def _code(text: str) -> int:
     return xxhash.xxh3_64_intdigest(masked(text)) - 2**63
 
 
-def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_docs: int = RECURRING_DOCS, min_sources: int = RECURRING_SOURCES) -> DataFrame:
+def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_docs: int = RECURRING_DOCS, min_sources: int = RECURRING_SOURCES, share_docs: float = SHARE_DOCS, share_sources: float = SHARE_SOURCES) -> DataFrame:
     """(id, reason, docs, sources) of each document that is residue.
 
     docs and sources: how many documents and sources have the same normalised
-    message. Null, empty and blank texts are none; a null source counts as one
+    message; reason is recurring for one found only by them. Null, empty and blank texts are none; a null source counts as one
     source. Repeated rows come out as often as they come in and count each
-    time. Other columns are not read. Only ids, hashes and sources of residue
-    are shuffled; counts are combined before.
+    time. Other columns are not read. Only ids, hashes and sources of texts
+    without a sign of content are shuffled; counts are combined before.
     """
     ship_code(df.sparkSession)
     schema = T.StructType(
@@ -232,18 +251,22 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out_schema = to_arrow_schema(schema)
         for batch in batches:
             done = [classify(t) for t in batch.column(2).to_pylist()]
-            take = pa.array([i for i, d in enumerate(done) if d[0]], pa.int32())
-            hit = [d for d in done if d[0]]
+            take = pa.array([i for i, d in enumerate(done) if d[0] or d[2]], pa.int32())
+            hit = [d for d in done if d[0] or d[2]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array([h[c] for h in hit], out_schema.field(c + 2).type) for c in range(3))], schema=out_schema)
 
-    # kept: the rows found are few, and both the counts and the result need them
+    # kept: the rows that may be residue are few, and both the counts and the result need them
     classed = cut_lineage(rows.mapInArrow(run, schema))
     # two-step distinct count: a message of very many documents is first combined per source
     spreads = classed.groupBy("code", F.coalesce("source", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sources"))
+    whole = df.groupBy(F.coalesce(df[source_col].cast("string"), F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_docs"), F.count(F.lit(1)).alias("all_sources"))
+    recurs = (F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)
+    widely = recurs & (F.col("docs") >= share_docs * F.col("all_docs")) & (F.col("sources") >= share_sources * F.col("all_sources"))
     return (
         classed.join(spreads, "code")
-        .where(F.col("certain") | ((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)))
-        .select(F.col("id").alias(id_col), "reason", "docs", "sources")
+        .crossJoin(F.broadcast(whole))
+        .where(F.col("certain") | (F.col("reason").isNotNull() & recurs) | widely)
+        .select(F.col("id").alias(id_col), F.coalesce("reason", F.lit("recurring")).alias("reason"), "docs", "sources")
     )
 
 

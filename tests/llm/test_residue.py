@@ -64,3 +64,18 @@ def test_rows(spark):
     assert {r.docs for r in out if r.doc_id == 200} == {6}
     assert without_residue(df, find_residue(df)).count() == len(rows) - len(ids)
     assert find_residue(df.limit(0)).count() == 0
+
+
+def test_unknown_messages_count_when_they_recur_widely(spark):
+    page = "Ups, tutaj niczego nie ma. Sprawdź odnośnik albo wróć później (kod {})."
+    pages = [(i, f"Dział {i}\n\n{page.format(i)}\nHome | Search | Help", f"s{i % 9}") for i in range(12)]
+    short = [(100 + i, "Dobrze, dziękuję.", f"s{i % 9}") for i in range(12)]
+    note = [(200 + i, "Editor's note: this value is left for further study.", f"s{i % 9}") for i in range(12)]
+    content = [(300 + i, "The gateway shall store each of the values in this table.", f"s{i % 9}") for i in range(12)]
+    paths = [(400 + i, f"Requests to /lattice/{{id}}/{i} carry the identifier in the path.", f"s{i % 9}") for i in range(12)]
+    few = [(500 + i, "Strona jest chwilowo zamknięta dla gości i autorów.", f"s{i % 2}") for i in range(12)]
+    once = [(600, "Pozostała treść pojawi się tutaj po zalogowaniu się.", "s1")]
+    df = spark.createDataFrame(pages + short + note + content + paths + few + once, "doc_id long, text string, source string")
+    out = find_residue(df).collect()
+    assert {(r.doc_id, r.reason, r.docs, r.sources) for r in out} == {(i, "recurring", 12, 9) for i in range(12)}
+    assert find_residue(df, share_docs=0.5).count() == 0 and find_residue(df, share_sources=1.1).count() == 0
