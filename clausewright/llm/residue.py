@@ -39,9 +39,23 @@ PLACEHOLDER = re.compile(
     rf"|(?<![\w%])%[A-Za-z][\w.-]*(?:[ \xa0][\w.-]+){{0,3}}%(?!\w)|\$\{{{_NAME}\}}|#\{{{_NAME}\}}|\[\[{_NAME}\]\]|<(?:enter|insert|your)\s{_NAME}>|«{_NAME}»|\[object Object\]",
     re.I,
 )
-#: A sentence that speaks of placeholders instead of leaving one.
+#: Words of sentences that may speak of placeholders instead of leaving one; what the placeholder does there decides.
 _MENTION = re.compile(r"\b(?:macros?|braces|brackets|exports?|exported|environment|variables?|syntax|notation|literal(?:ly)?|escaped?|expands?|substitut\w+)\b", re.I)
 _CODE_LINE = re.compile(r"^(?: {4,}|\t)\S|[;{}]\s*$|^\s*(?:def|class|import|from|return|if|for|while|echo|export|set|var|let|const|print)\b.*[(=:$]")
+_QUOTE = "[`\"'“”„‘’«»]"
+_ARTICLES = r"(?:(?:the|an?|each|every|any|all|environment|literal|variables?|macros?|placeholders?|string|text|token|marker)\s+)*"
+#: Before the placeholder: it is the object of such a verb or named by such a noun.
+_SPOKEN_OF = re.compile(
+    rf"\b(?:(?:export(?:s|ed|ing)?|expand(?:s|ed|ing)?|escap(?:es?|ed|ing)|substitut(?:es?|ed|ing))\s+{_ARTICLES}"
+    rf"|(?:macros?|variables?|syntax|notation|literal(?:ly)?|placeholders?)\s+(?:(?:is|are|of|like|called|named|such as)\s+)?"
+    rf"|(?:braces|brackets)\s+(?:around|of|in)\s+{_ARTICLES}){_QUOTE}?$",
+    re.I,
+)
+_REPLACING, _REPLACED = re.compile(rf"\b(?:macros?|scripts?|templates?|engine|generator|tools?|parser|shell)\b.*\breplac(?:es?|ed|ing)\s+{_ARTICLES}{_QUOTE}?$", re.I), re.compile(rf"^{_QUOTE}?\s+(?:by|with)\b", re.I)
+_HAPPENS = re.compile(rf"^{_QUOTE}?\s+(?:(?:is|are|was|were|gets?|(?:must|shall|will|has to) be|has been|stays?)\s+(?:not\s+|\w+ly\s+)?(?:expanded|escaped|exported|substituted|replaced|literal)|expands?|macros?|variables?|syntax|notation)\b", re.I)
+#: Code on a line of its own, and what is code only next to another such line.
+_SURELY_CODE = re.compile(r"^\s*(?:(?:export|set|var|let|const)\s+\w+\s*=|(?:def|class)\s+\w+.*[:({]\s*$|(?:echo|print)\b\s*\(?[\"'$]|(?:if|for|while)\s*[(\[]|from\s+\S+\s+import\b)")
+_MAYBE_CODE = re.compile(r"^(?!\s*(?:[-*+•]|\d+[.)])\s)(?:.*[{}]\s*$|.*[=()\[\]<>].*;\s*$|\s*[\w.\[\]]+\s*[-+*/]?=\s*\S*[(\[\"']|\s*(?:def|class|import|from|return|if|for|while|echo|export|set|var|let|const|print)\b.*(?:[(=$]|:\s*$)|\s*(?:return|import)\b)")
 
 # What pages carry around their content.
 _NAVIGATION = re.compile(
@@ -142,19 +156,38 @@ def masked(text: str) -> str:
     return out
 
 
+def _mentioned(sentence: str) -> bool:
+    """Whether a placeholder of the sentence is what it speaks of: object of replace, export, expand ..., named or quoted."""
+    if not _MENTION.search(sentence):
+        return False
+    for m in PLACEHOLDER.finditer(sentence):
+        before, after = sentence[: m.start()], sentence[m.end() :]
+        quoted = re.search(rf"{_QUOTE}$", before) and re.match(_QUOTE, after) and not re.search(rf":\s*{_QUOTE}$", before)
+        if quoted or _SPOKEN_OF.search(before) or _HAPPENS.match(after) or (_REPLACING.search(before) and _REPLACED.match(after)):
+            return True
+    return False
+
+
+def _in_code(lines: list[str], k: int) -> bool:
+    """Whether line k is code by itself, or looks like it next to a line that does too."""
+    around = [PLACEHOLDER.sub("x", x) for x in lines[max(k - 1, 0) : k + 2]]
+    line = around[min(k, 1)]
+    return bool(_SURELY_CODE.match(line)) or sum(bool(_MAYBE_CODE.match(x)) for x in around) > 1 and bool(_MAYBE_CODE.match(line))
+
+
 def placeholders(text: str) -> list[str]:
     """Placeholders left where values belong; mentions and code don't count."""
     if not any(m in text for m in ("{{", "{%", "<%", "[", "@@", "__", "%", "${", "#{", "<", "«")):
         return []
-    out, fence = [], False
-    for line in text.split("\n"):
+    out, fence, lines = [], False, text.split("\n")
+    for k, line in enumerate(lines):
         if line.lstrip().startswith(("```", "~~~")):
             fence = not fence
         if fence or not PLACEHOLDER.search(line):
             continue
         for sentence in _SENTENCE.split(line):
             found = [m[0] for m in PLACEHOLDER.finditer(sentence)]
-            if found and not _MENTION.search(sentence) and not _CODE_LINE.search(PLACEHOLDER.sub("", sentence)):
+            if found and not _mentioned(sentence) and not (_CODE_LINE.search(PLACEHOLDER.sub("", sentence)) and _in_code(lines, k)):
                 out += found
     return out
 

@@ -79,3 +79,38 @@ def test_unknown_messages_count_when_they_recur_widely(spark):
     out = find_residue(df).collect()
     assert {(r.doc_id, r.reason, r.docs, r.sources) for r in out} == {(i, "recurring", 12, 9) for i in range(12)}
     assert find_residue(df, share_docs=0.5).count() == 0 and find_residue(df, share_sources=1.1).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Test environment: {{ENV_NAME}}",
+        "- approved by {{name}};",
+        "- approved by {{name}};\n- checked by {{ other }};",
+        "    Chair: {{chair}}",
+        "\tChair: {{chair}}\n\tSecretary: {{secretary}}",
+        "for the group: {{chair}}",
+        "set by the chair (acting): {{chair}}",
+        "The syntax of the variables was agreed with {{name}}.",
+        'Variable: "{{name}}"',
+        "It replaces ${regional.area}.",
+    ],
+)
+def test_placeholders_where_values_belong(text):
+    assert classify(text)[:2] == ("placeholder", True)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The environment variable ${HOME} holds the folder.",
+        "The shell expands ${HOME} first.",
+        "Here ${HOME} expands to a folder.",
+        "In this notation '{{x}}' means a value.",
+        "export FLAG=${HOME}/bin",
+        "if (a) {\n    call(${HOME});\n}",
+        "~~~\nChair: {{chair}}\n~~~",
+    ],
+)
+def test_placeholders_spoken_of_or_in_code(text):
+    assert placeholders(text) == []
