@@ -26,6 +26,10 @@ from pyspark.sql import types as T
 from ..session import cut_lineage, ship_code
 
 
+#: Cosines count as equal if they are to six places, so they may differ by as much.
+TIE = 1.5e-6
+
+
 @dataclass(frozen=True)
 class VpRule:
     """k nearest with a cosine of at least ``min_cosine`` (-1: all)."""
@@ -124,7 +128,8 @@ class Tree:
 
     def search(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, rows) of the best k for each query, best first, -2 where there
-        are fewer. own: each query's row here (-1: none), which isn't its own neighbour.
+        are fewer; equal cosines (to six places) by row. own: each query's row here
+        (-1: none), which isn't its own neighbour.
 
         The queries of a block go down the tree together.
         """
@@ -135,7 +140,7 @@ class Tree:
 
         def leaf(a: int, b: int, at: np.ndarray) -> None:
             s = q[at] @ self.rows[a:b].T
-            i, j = np.nonzero(s >= np.maximum(best[at, -1], floor)[:, None])
+            i, j = np.nonzero(s >= np.maximum(best[at, -1] - TIE, floor)[:, None])
             other = self.order[a + j] != own[at[i]]
             i, j = i[other], j[other]
             if not len(i):
@@ -149,10 +154,11 @@ class Tree:
             at = at[hit]
             cos[:, : r.k], ids[:, : r.k] = best[at], who[at]
             cos[row, r.k + np.arange(len(i)) - start], ids[row, r.k + np.arange(len(i)) - start] = s[i, j], self.order[a + j]
+            rank = (np.rint(cos.astype(np.float64) * -1e6).astype(np.int64) << 40) + ids
             if cos.shape[1] > 4 * r.k:
-                top = np.argpartition(-cos, r.k - 1, axis=1)[:, : r.k]
-                cos, ids = np.take_along_axis(cos, top, 1), np.take_along_axis(ids, top, 1)
-            keep = np.argsort(-cos, axis=1, kind="stable")[:, : r.k]
+                top = np.argpartition(rank, r.k - 1, axis=1)[:, : r.k]
+                cos, ids, rank = (np.take_along_axis(t, top, 1) for t in (cos, ids, rank))
+            keep = np.argsort(rank, axis=1)[:, : r.k]
             best[at], who[at] = np.take_along_axis(cos, keep, 1), np.take_along_axis(ids, keep, 1)
 
         def down(at: int, rows: np.ndarray) -> None:
@@ -166,7 +172,7 @@ class Tree:
             # go first, so that the k-th neighbour so far soon bounds the reach.
             turns = [np.ones(len(rows), bool)] if r.min_cosine > -1 else [d <= (in1 + out0) / 2, d > (in1 + out0) / 2]
             for i, turn in enumerate(turns):
-                margin = r.factor * np.minimum(np.sqrt(np.maximum(2 - 2 * best[rows, -1], 0)) + 1e-6, r.reach)
+                margin = r.factor * np.minimum(np.sqrt(np.maximum(2 - 2 * (best[rows, -1] - TIE), 0)) + 1e-6, r.reach)
                 inner = (d <= in1 + margin) & (d >= in0 - margin) & turn
                 outer = (d >= out0 - margin) & (d <= out1 + margin) & turns[-1 - i]
                 if inner.any():
@@ -251,14 +257,15 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, rule: VpRule = VpRule()
             nonlocal tree, asked, asked_x
             if not asked:
                 return
-            if tree is None:
-                tree = Tree(np.concatenate(xs) if xs else np.empty((0, rule.dim), np.float32), rule)
             own_ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
+            by = np.argsort(own_ids)  # rows in the order of their ids, by which ties are settled
+            own_ids = own_ids[by]
+            if tree is None:
+                tree = Tree(np.concatenate(xs)[by] if xs else np.empty((0, rule.dim), np.float32), rule)
             q, qx = np.concatenate(asked), np.concatenate(asked_x)
             asked, asked_x = [], []
-            by = np.argsort(own_ids)
-            at = np.minimum(np.searchsorted(own_ids, q, sorter=by), max(0, len(own_ids) - 1))
-            own = np.where(own_ids[by[at]] == q, by[at], -1) if len(own_ids) else np.full(len(q), -1)
+            at = np.minimum(np.searchsorted(own_ids, q), max(0, len(own_ids) - 1))
+            own = np.where(own_ids[at] == q, at, -1) if len(own_ids) else np.full(len(q), -1)
             cos, who = tree.search(qx, own)
             i, j = np.nonzero(who >= 0)
             if len(i):

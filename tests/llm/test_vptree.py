@@ -60,3 +60,17 @@ def test_unusable_vectors_take_no_part(spark):
     assert nearest(df.limit(0), "id", "v", VpRule(dim=8)).count() == 0
     one = spark.createDataFrame([(1, [1.0] * 8)], "id long, v array<float>")
     assert nearest(one, "id", "v", VpRule(dim=8)).count() == 0
+
+
+def test_equal_neighbours_rank_by_id(spark):
+    rng = np.random.default_rng(3)
+    family, other = rng.normal(size=(2, 8)), rng.normal(size=(60, 8))
+    ids = [int(i) for i in rng.permutation(100)]
+    rows = [(i, [float(x) for x in (family[k % 2] if k < 40 else other[k - 40])]) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    for rule in (VpRule(dim=8, leaf=6), VpRule(dim=8, leaf=64), VpRule(dim=8, leaf=6, shard_rows=30), VpRule(dim=8, leaf=6, min_cosine=0.9)):
+        got = {(r.id, r["rank"]): r.neighbour for r in nearest(df, "id", "v", rule).collect()}
+        for side in (0, 1):
+            members = sorted(i for k, i in enumerate(ids[:40]) if k % 2 == side)
+            for i in members:
+                assert [got[i, n] for n in range(1, 6)] == [m for m in members if m != i][:5]
