@@ -57,7 +57,7 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each clause that holds markup with each kind."""
+    """Each clause that holds markup with each kind; rules find the kinds, the ratios play no part."""
     marked = markup.clean_markup(table(spark, d, "clauses", "chunk_id", "text"), only_marked=True)
     return marked.select("chunk_id", F.explode("kinds").alias("markup"))
 
