@@ -74,3 +74,18 @@ def test_equal_neighbours_rank_by_id(spark):
             members = sorted(i for k, i in enumerate(ids[:40]) if k % 2 == side)
             for i in members:
                 assert [got[i, n] for n in range(1, 6)] == [m for m in members if m != i][:5]
+
+
+def test_pair_rule_finds_planted_pairs_of_the_lowest_band():
+    from clausewright.llm.queries import PAIR_RULE
+    from clausewright.llm.vptree import Tree
+
+    rng = np.random.default_rng(1)
+    x, g = rng.normal(size=(20_000, 64)), rng.normal(size=(1_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = x[:1_000]
+    g -= (g * p).sum(1, keepdims=True) * p
+    c = rng.uniform(0.851, 0.87, (1_000, 1))
+    q = c * p + np.sqrt(1 - c**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    _, who = Tree(x.astype(np.float32), PAIR_RULE).search(q.astype(np.float32), np.full(1_000, -1))
+    assert (who == np.arange(1_000)[:, None]).any(1).mean() > 0.998
