@@ -5,11 +5,13 @@ candidates are verified (signature agreement by the number of bands in common,
 then the exact share of common shingles); linked records form groups by
 alternating large-star and small-star.
 
-Exact copies are one record from the start. Candidates come in two steps so
-that no bucket is ever expanded into all its pairs: first each record meets the
-least record of its buckets (stars), and what verifies is joined into
-components; then only buckets in which different components meet give pairs,
-and only pairs across components.
+Exact copies are one record from the start. First each record meets the least
+record of its buckets (stars), and what verifies is joined into components.
+Then only records of different components are candidates, and only if two
+bands agree. No bucket is expanded into all its pairs: of each bucket the
+stars' heads are compared first, and since the Jaccard distance is a metric,
+what a head's distance to another and its members' distances to it rule out is
+never paired (see ``_across``). Nothing depends on the size of a bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,24 +36,23 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class NearDupRule:
-    """A pair with the threshold's similarity shares no band with probability
-    (1 - threshold ** rows) ** bands: 8e-6 at 0.6 with 3 rows and 48 bands."""
+    """Two records are compared if two bands agree, whatever the buckets' sizes. With
+    q = threshold ** rows a pair at the threshold is missed with probability
+    (1 - q) ** bands + bands * q * (1 - q) ** (bands - 1): 3e-6 at 0.6 with 3 rows
+    and 64 bands. (A pair that a star finds needs one band only.)"""
 
     shingle: int = 5
     threshold: float = 0.8
     min_words: int = 0
     rows: int = 4
-    bands: int = 32
+    bands: int = 40
     #: Bands that the star step uses; the pair step uses all.
     star_bands: int = 12
-    #: A bucket of more records than this gives only pairs with a second band in
-    #: common (missed by a pair at the threshold with probability 1.2e-4 instead of 8.5e-6).
-    bucket_pairs: int = 64
     seed: int = 1
 
 
 #: What TESTDATA.md states for clauses.
-CLAUSE_RULE = NearDupRule(shingle=3, threshold=0.6, min_words=30, rows=3, bands=48, star_bands=16)
+CLAUSE_RULE = NearDupRule(shingle=3, threshold=0.6, min_words=30, rows=3, bands=64, star_bands=16)
 
 
 @lru_cache(maxsize=300_000)
@@ -107,11 +108,12 @@ class Signer:
 
 
 def record_features(records: DataFrame, rule: NearDupRule) -> DataFrame:
-    """id, heading, text -> id, set key, bands, shingles; records too short give none."""
+    """id, copy, heading, text -> id, copy, set key, bands, shingles; records too short give none."""
     ship_code(records.sparkSession)
     schema = T.StructType(
         [
             T.StructField("id", T.LongType()),
+            T.StructField("copy", T.BinaryType()),
             T.StructField("same", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType(), False)),
             T.StructField("grams", T.ArrayType(T.IntegerType(), False)),
@@ -124,28 +126,27 @@ def record_features(records: DataFrame, rule: NearDupRule) -> DataFrame:
         signer, out_schema = Signer(rule), to_arrow_schema(schema)
         list_type, gram_type = out_schema.field("bands").type, out_schema.field("grams").type
         for batch in batches:
-            ids, same, bands, grams = [], [], [], []
-            for key, heading, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            take, same, bands, grams = [], [], [], []
+            for n, (heading, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 words = _WORD.findall(text.lower())
                 if len(words) < max(1, rule.min_words):
                     continue
                 g = shingle_hashes(_WORD.findall(heading.lower()) + words if heading else words, rule.shingle)
-                ids.append(key)
+                take.append(n)
                 same.append(xxhash.xxh3_64_intdigest(g.tobytes()) - 2**63)
                 bands.append(signer.bands(g))
                 grams.append(g.view(np.int32))
             lists = lambda parts, kind, item: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.empty(0, item))).cast(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.int64()), lists(bands, list_type, np.int64), lists(grams, gram_type, np.int32)], schema=out_schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int32())), batch.column(1).take(pa.array(take, pa.int32())), pa.array(same, pa.int64()), lists(bands, list_type, np.int64), lists(grams, gram_type, np.int32)], schema=out_schema)
 
-    return records.select("id", "heading", "text").mapInArrow(run, schema)
+    return records.select("id", "copy", "heading", "text").mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose share of common shingles reaches the threshold."""
+def _shared(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(a, b, far): the pairs with their exact Jaccard distance."""
     side = lambda n: features.select(F.col("id").alias(n), F.col("grams").alias(f"g{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(common >= F.lit(threshold) * (F.size("ga") + F.size("gb") - common) - 1e-9).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("ga", "gb")))
+    return both.select("a", "b", (1 - F.col("common") / (F.size("ga") + F.size("gb") - F.col("common"))).alias("far"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, heading_col: str | None = None, rule: NearDupRule = NearDupRule()) -> DataFrame:
@@ -160,6 +161,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, heading_col: str
     are not read.
     """
     spark = df.sparkSession
+    reach = 1 - rule.threshold + 1e-9
     rows = df.select(
         df[id_col].cast("long").alias("id"),
         (df[heading_col] if heading_col else F.lit(None).cast("string")).alias("heading"),
@@ -175,40 +177,69 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, heading_col: str
     # records of the same shingles
     first = features.groupBy("same").agg(F.min("id").alias("b"))
     equal = features.select("id", "same").join(first, "same").where("id <> b").select(F.col("id").alias("a"), "b")
-    apart = features.join(equal.select(F.col("a").alias("id")), "id", "left_anti")
+    apart = features.join(equal.select(F.col("a").alias("id")), "id", "left_anti").select("id", "bands")
 
     # stars: each record and the bucket head it shares most bands with
-    head = apart.select("id", F.explode(F.slice("bands", 1, rule.star_bands)).alias("key")).withColumn("head", F.min("id").over(Window.partitionBy("key"))).where("id <> head")
-    most = head.groupBy("id", "head").count().groupBy("id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("b"))
-    stars = _verified(most.select(F.col("id").alias("a"), "b"), features, rule.threshold)
-    links = cut_lineage(stars.unionByName(equal))
-    label = connected_components(links, "a", "b")
-
-    # pairs across components, from buckets where components meet
-    named = features.select("id", "bands").join(equal.select(F.col("a").alias("id")), "id", "left_anti").join(label.withColumnRenamed("u", "id"), "id", "left").select("id", "bands", F.coalesce("component", "id").alias("label"))
-    bucket = Window.partitionBy("key")
-    met = (
-        named.select("id", "label", F.explode("bands").alias("key"))
-        .withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket))
-        .where("lo <> hi").select("key", "id", "label", "n")
+    banded = apart.select("id", F.explode(F.slice("bands", 1, rule.star_bands)).alias("key"))
+    heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last")
+    most = banded.join(heads, "key").where("id <> head").groupBy("id", "head").count().groupBy("id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("b"))
+    stars = cut_lineage(_shared(most.select(F.col("id").alias("a"), "b"), features).where(F.col("far") <= reach))
+    label = connected_components(stars.select("a", "b"), "a", "b")
+
+    # what is still apart and has two bands in common with another component
+    star = stars.select(F.col("a").alias("id"), F.col("b").alias("head"), "far")
+    named = apart.join(label.withColumnRenamed("u", "id"), "id", "left").select("id", "bands", F.coalesce("component", "id").alias("label"))
+    met = _mixed(named.select("id", "label", F.explode("bands").alias("key")))
+    keys = met.groupBy("id", "label").agg(F.array_sort(F.collect_set("key")).alias("ks"))  # at most one key a band
+    two = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
+    met = _mixed(keys.where(F.size("ks") > 1).select("id", "label", F.explode(two).alias("key")))
+    met = cut_lineage(met.join(star, "id", "left").select("key", "id", "label", F.coalesce("head", "id").alias("head"), F.coalesce("far", F.lit(0.0)).alias("far")))
+    more = _across(met, features, reach)
+
+    # exact copies and equal records join their record's group
+    merged = connected_components(cut_lineage(more), "a", "b")
+    low = lambda t, name: t.select(F.col("u").alias("c"), F.col("component").alias(name))
+    final = (
+        features.select("copy", F.col("id").alias("own"), "same").join(first, "same").withColumnRenamed("b", "c")
+        .join(low(label, "l"), "c", "left").select("copy", F.coalesce("l", "c").alias("c"))
+        .join(low(merged, "m"), "c", "left").select("copy", F.coalesce("m", "c").alias("c"))
     )
-    met = cut_lineage(met)
-    small = _across(met.where(F.col("n") <= rule.bucket_pairs), ["key"])
-    again = met.where(F.col("n") > rule.bucket_pairs).join(features.select("id", F.explode("bands").alias("second")), "id").where("second <> key")
-    large = _across(again, ["key", "second"])
-    across = _verified(small.unionByName(large).distinct(), features, rule.threshold)
-    more = across.join(label.select(F.col("u").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("u").alias("b"), F.col("component").alias("cb")), "b", "left")
-    more = cut_lineage(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
-    merged = connected_components(more, "a", "b")
-    final = features.select("id").join(label.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c")).join(merged.select(F.col("u").alias("c"), F.col("component").alias("m")), "c", "left").select("id", F.coalesce("m", "c").alias("group"))
-
-    copies = rows.select(F.col("id").alias("member"), "copy").distinct()
-    heads = copies.groupBy("copy").agg(F.min("member").alias("id"))
-    return copies.join(heads, "copy").join(final, "id").select(F.col("member").alias(id_col), "group").distinct()
-
-
-def _across(met: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of one bucket with different labels."""
-    a = met.select(*keys, F.col("id").alias("a"), F.col("label").alias("la"))
-    b = met.select(*keys, F.col("id").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, keys).where("a < b and la <> lb").select("a", "b")
+    return rows.select(F.col("id").alias("member"), "copy").distinct().join(final, "copy").select(F.col("member").alias(id_col), F.col("c").alias("group")).distinct()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(id, label, key) of the keys that more than one label has: combined on the map
+    side, so a key of very many rows is no burden to one task."""
+    some = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(some, "key", "left_semi")
+
+
+def _across(met: DataFrame, features: DataFrame, reach: float) -> DataFrame:
+    """(a, b): links between labels that the records of ``met`` give.
+
+    met: key, id, label, the head of the record's star and its distance to it
+    (itself and 0 if it has none). First the heads that meet under a key are
+    compared; heads within reach join their labels. A member a of head x and
+    b of head y can only be linked if far(x, y) <= far(a, x) + reach + far(b, y),
+    so of two families that stay apart only members at their rims are paired.
+    """
+    up = lambda t, end: t.select("key", F.col("head").alias(f"h{end}"), F.col("label").alias(f"l{end}"), "rim")
+    fam = met.groupBy("key", "head", "label").agg(F.max("far").alias("rim"))
+    pairs = up(fam, "a").withColumnRenamed("rim", "ra").join(up(fam, "b").withColumnRenamed("rim", "rb"), "key").where("ha < hb and la <> lb")
+    pairs = cut_lineage(pairs.groupBy("ha", "hb", "la", "lb").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb")))
+    known = cut_lineage(_shared(pairs.select(F.col("ha").alias("a"), F.col("hb").alias("b")), features).withColumnsRenamed({"a": "ha", "b": "hb"}).join(pairs, ["ha", "hb"]))
+    joined = known.where(F.col("far") <= reach).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    label = connected_components(joined, "a", "b")
+    now = lambda end: label.select(F.col("u").alias(f"l{end}"), F.col("component").alias(f"n{end}"))
+    open_ = (
+        known.where((F.col("far") > reach) & (F.col("far") <= F.col("ra") + F.col("rb") + reach))
+        .join(now("a"), "la", "left").join(now("b"), "lb", "left").where("coalesce(na, la) <> coalesce(nb, lb)")
+        .select("ha", "hb", "la", "lb", "far", "ra", "rb")
+    )
+    # members that reach over, each judged alone before it meets another
+    rim = lambda end: met.select("key", F.col("id").alias(end), F.col("head").alias(f"h{end}"), F.col("far").alias(f"f{end}"))
+    a = open_.join(rim("a"), "ha").where(F.col("far") <= F.col("fa") + F.col("rb") + reach)
+    both = a.join(rim("b"), ["key", "hb"]).where((F.col("far") <= F.col("fa") + F.col("fb") + reach) & ((F.col("a") != F.col("ha")) | (F.col("b") != F.col("hb"))))
+    found = _shared(both.select("a", "b").distinct(), features).where(F.col("far") <= reach)
+    ends = both.select("a", "b", "la", "lb").distinct()
+    return joined.unionByName(found.select("a", "b").join(ends, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))).distinct()

@@ -3,7 +3,7 @@ import random
 from clausewright.llm.components import connected_components
 from clausewright.llm.neardup import _WORD, NearDupRule, near_duplicates
 
-RULE = NearDupRule(shingle=3, threshold=0.6, min_words=10, rows=3, bands=48, star_bands=16, bucket_pairs=3)
+RULE = NearDupRule(shingle=3, threshold=0.6, min_words=10, rows=3, bands=64, star_bands=16)
 
 
 def brute(rows, rule):
@@ -69,3 +69,30 @@ def test_components(spark):
     assert len(out) == len(got) and all(got[i] == 0 for i in range(41))
     assert got[101] == got[100] == 100 and got[200] == got[201] == got[50] == 50
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_two_large_families_that_meet_in_every_bucket(spark):
+    """Families with half of their text in common share buckets; only a bridge links them."""
+    common = [f"c{i}" for i in range(100)]
+
+    def member(family, i):
+        own = [f"{family}{k}" for k in range(60)]
+        own[i % 60] = f"edit{family}{i}"
+        return " ".join(common + own)
+
+    rows = [(i, None, member("a", i)) for i in range(150)] + [(1000 + i, None, member("b", i)) for i in range(150)]
+    df = spark.createDataFrame(rows, "chunk_id long, heading string, text string")
+    got = {(r.chunk_id, r.group) for r in near_duplicates(df, "chunk_id", "text", "heading", RULE).collect()}
+    assert got == brute(rows, RULE) and len({g for _, g in got}) == 2
+    bridge = (5000, None, " ".join(common + [f"a{k}" for k in range(30)] + [f"b{k}" for k in range(30, 60)]))
+    df = spark.createDataFrame([*rows, bridge], "chunk_id long, heading string, text string")
+    got = {(r.chunk_id, r.group) for r in near_duplicates(df, "chunk_id", "text", "heading", RULE).collect()}
+    assert got == brute([*rows, bridge], RULE) and len({g for _, g in got}) == 1
+
+
+def test_no_bucket_is_held_in_one_task(spark):
+    import inspect
+
+    from clausewright.llm import neardup
+
+    assert "Window" not in inspect.getsource(neardup)
