@@ -1,12 +1,15 @@
 """Template residue and error-page text (problem 9).
 
-Method: each document is stripped of page navigation, titles and footers and
-its message is normalised (numbers, addresses, dates and names in code masked). Phrase and
-placeholder rules class it; equal normalised messages are grouped by hash
-across sources. A message that the rules know only in part counts when it
-recurs, word for word, in several sources; one that they don't know at all, in
-whatever language, when it holds no sign of content and recurs in a share of
-all documents and sources.
+Method: each document is stripped of page navigation, titles and footers, and
+the message that is left is normalised: numbers, addresses and dates are
+masked. Equal normalised messages are grouped by hash across documents and
+sources, and each group is classified once, by phrase and placeholder rules
+that know how widely it recurs. A message of which every sentence is of a known
+kind counts however rare it is; one that is known only in part, or only by a
+word of such pages, counts when it recurs, word for word, in several sources;
+one that no rule knows, in whatever language, when it holds no sign of content
+and recurs in a share of all documents and sources. Texts with a sentence of
+content have no message and are never grouped.
 """
 
 from __future__ import annotations
@@ -72,6 +75,9 @@ _ERRORS = [
     rf"^(?:error )?#+ {_STATUS}\b.{{0,40}}$",
     rf"^(?:error|http|code|status|reason)\s?[: ]\s?(?:error )?(?:#+)?\s*\(?{_STATUS}?\)?[.!]?$",
     r"^error #+.{0,60}$",
+    r"^(?:http|status|error code)\s?(?:error |status )?#+ [a-z' ]{2,40}$",
+    r"^(?:page|pagina|página|seite|strona|side|sida) (?:non trovata|no encontrada|não encontrada|nicht gefunden|introuvable|niet gevonden|nie znaleziona|hittades inte)\b.{0,40}$",
+    r"^page introuvable\b.{0,40}$",
     rf"^{_STATUS}[.!]?$",
     r"^(?:something went wrong|request failed|service error|oops|page not found|access (?:is )?denied|server error|application error|(?:an|the) (?:unexpected|internal|unknown) error (?:has )?occurred)\b.{0,50}$",
     rf"^(?:sorry|oops|we apologi[sz]e|unfortunately)?[,.:!]?\s*(?:the|this|that|your)\s(?:requested\s)?(?:{_THING}\b.{{0,90}}|{_WHICH}\b.{{0,60}}) ?\b{_GONE}\b.{{0,60}}$",
@@ -102,6 +108,8 @@ _NOTICES = [
     rf"^{_SCRIPTS} (?:is|are|seems? to be|must be|and cookies must be)\b.{{0,60}}$",
     rf"^your browser (?:has (?:them|{_SCRIPTS})|does not (?:run|support) {_SCRIPTS})\b.{{0,60}}$",
     r"^checking your browser\b.{0,60}$",
+    rf"^(?:we're|we are) sorry,? but (?:\S+ ){{1,4}}(?:does not|doesn't) work (?:properly |correctly )?without {_SCRIPTS}\b.{{0,40}}$",
+    rf"^(?:for (?:the )?(?:full|best) (?:functionality|experience) (?:of|on) (?:this|our|the) \w+,? )(?:it is necessary to |please |you (?:need|have) to |you must )?(?:enable|activate|turn on|switch on|allow) {_SCRIPTS}\b.{{0,60}}$",
     r"^bitte (?:aktivieren|schalten) sie javascript\b.{0,60}$",
     r"^veuillez activer javascript\b.{0,60}$",
     r"^(?:est[ea] \w+ (?:necesita|requiere)|active|habilite|por favor,? active) javascript\b.{0,60}$",
@@ -111,6 +119,7 @@ _FILLERS = [
     r"^this is (?:a )?(?:sample|dummy|placeholder|example|filler) text\b.{0,30}$",
     r"^replace (?:it|this(?: text)?) with your own\b.{0,40}$",
     r"^coming soon\b.{0,30}$",
+    r"^(?:(?:this|the|our) (?:page|site|website|section) is )?(?:currently )?under construction\b.{0,30}$",
     r"^(?:content|text|details)(?: for this \w+)? (?:will be added|to be added|goes here|to follow)\b.{0,20}$",
     r"^text text\b.{0,30}$",
     r"^more text goes here$",
@@ -130,6 +139,15 @@ _NEXT_TO = re.compile(
 )
 #: Words by which a sentence is known as content, not as part of a page's message.
 _CONTENT = re.compile(r"\b(?:shall|should|may|might|can|could|able to|required to|expected to|need not|whenever|upon|unless|answers?|asks|logs)\b|[，。].*应|\b(?:gemäß|ohne|nach ablauf|selon|en cas|según|tras)\b")
+#: A sentence that states what happens when is content, whatever phrase it holds.
+_STATES = re.compile(r"\b(?:shall|should|whenever|unless|(?:when|if|that|because) (?:the|an?|no|it|its)|returns|answers|responds)\b(?!.*\b(?:you|your)\b)")
+#: Words of such pages: known only by one, a message must recur.
+_HINT = re.compile(
+    r"\b(?:error|erreur|fehler|errore|erro|błąd|http|javascript|java script|cookies?|browser|navigateur|navegador|captcha|robot|log ?in|sign in|session|sitzung|sesión"
+    r"|unavailable|not available|expired|maintenance|wartung|mantenimiento|under construction|loading|redirect(?:ed|ing)?|forbidden|denied|not found|introuvable|try again|subscribe)\b|错误|页面"
+)
+#: Such a message has at most so many words.
+_HINT_WORDS = 40
 #: Further signs of content in a sentence of no known kind: open points, paths and code with braces.
 _OPEN = re.compile(r"\b(?:further study|ffs|tbd|to be (?:defined|determined|decided|confirmed)|editor'?s note)\b|[{}]|::=|\blorem ipsum\b")
 # Words of filler texts.
@@ -214,93 +232,127 @@ def _filler(sentence: str) -> bool:
     return n >= 3 and (sum(w in _LOREM for w in words) > 0.8 * n or sum(w in _MASH for w in words) > 0.8 * n)
 
 
-def classify(text: str | None) -> tuple[str | None, bool, int]:
-    """(reason, certain, hash of the normalised message) of one text.
+def kind_of(sentence: str) -> str:
+    """filler, known (a phrase of such pages), beside (stands next to one), title, content, open
+    (has a sign of content that only a known phrase beside it outweighs) or unknown."""
+    low = sentence.lower()
+    if _filler(sentence):
+        return "filler"
+    bare = masked(sentence).rstrip(" .!?。")
+    if _STRONG.match(bare) and not _STATES.search(low):
+        return "known"
+    if _NEXT_TO.match(bare):
+        return "beside"
+    if _title(sentence):
+        return "title"
+    if _CONTENT.search(low) or _STATES.search(low):
+        return "content"
+    return "open" if _OPEN.search(low) else "unknown"
+
+
+#: Marks the message of a text with unfilled placeholders.
+_LEFT_OPEN = "\u27e6\u27e7"
+
 
-    reason is placeholder, message or filler; None for anything else. Not certain:
-    a known message next to sentences of no known kind. The hash leaves titles
-    out. Without a reason, a hash other than 0 marks a text without a sign of
-    content, which is a message if it recurs. Reading ends at the first
-    sentence that is content, as no text with it can be one.
+def own_message(text: str | None) -> str | None:
+    """What a text says, a sentence a line, without navigation, titles and footers.
+
+    None for texts that have a sentence of content (reading ends there), and
+    for null, blank and wordless ones. Of a text with unfilled placeholders
+    the message is what they are, whatever else it says.
     """
     if not text or not text.strip():
-        return None, False, 0
-    if placeholders(text):
-        return "placeholder", True, _code(text)
-    strong, filler, unknown, words, content, kept = 0, 0, 0, 0, False, []
+        return None
+    if left := placeholders(text):
+        return f"{_LEFT_OPEN} " + "\n".join(left)
+    kept = []
     for s in message(text):
-        m = masked(s)
-        bare = m.rstrip(" .!?。")
-        if _filler(s):
-            filler += 1
-        elif _STRONG.match(bare):
-            strong += 1
-        elif not _NEXT_TO.match(bare):
-            if _title(s):
-                continue
-            if _CONTENT.search(s.lower()):
-                return None, False, 0
-            unknown += 1
-            words += len(s.split())
-            content = content or bool(_OPEN.search(s.lower()))
-        kept.append(m)
-    code = _code(" ".join(kept))
-    if (strong or filler) and unknown <= 3:
-        certain = unknown == 0 or (strong > 0 and unknown <= 2 and words <= 25)
-        return "message" if strong else "filler", certain, code
-    if content or len(_UNIT.findall(" ".join(kept))) < UNKNOWN_WORDS:
-        return None, False, 0
-    return None, False, code
-
-
-def _code(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(masked(text)) - 2**63
+        kind = kind_of(s)
+        if kind == "content":
+            return None
+        if kind != "title":
+            kept.append(s)
+    return "\n".join(kept) or None
+
+
+def code_of(message_text: str) -> int:
+    """Hash of a message with numbers, addresses and dates masked."""
+    return xxhash.xxh3_64_intdigest(masked(message_text)) - 2**63
+
+
+def judge(message_text: str, recurs: bool = False, widely: bool = False) -> str | None:
+    """Reason why a group of equal messages is residue, or None.
+
+    recurs: in several documents and sources; widely: in a share of all as well.
+    """
+    if message_text.startswith(_LEFT_OPEN):
+        return "placeholder"
+    sentences = message_text.split("\n")
+    kinds = [kind_of(s) for s in sentences]
+    known, filler, unknown = kinds.count("known"), kinds.count("filler"), kinds.count("unknown") + kinds.count("open")
+    if (known or filler) and unknown <= 3:
+        words = sum(len(s.split()) for s, k in zip(sentences, kinds) if k in ("unknown", "open"))
+        if recurs or unknown == 0 or (known and unknown <= 2 and words <= 25):
+            return "message" if known else "filler"
+    units = len(_UNIT.findall(message_text))
+    if "open" in kinds or not recurs:
+        return None
+    if units <= _HINT_WORDS and _HINT.search(message_text.lower()):
+        return "message"
+    return "recurring" if widely and units >= UNKNOWN_WORDS else None
+
+
+def classify(text: str | None) -> str | None:
+    """Reason of one text by itself, as if it stood nowhere else."""
+    said = own_message(text)
+    return judge(said) if said else None
 
 
 def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_docs: int = RECURRING_DOCS, min_sources: int = RECURRING_SOURCES, share_docs: float = SHARE_DOCS, share_sources: float = SHARE_SOURCES) -> DataFrame:
     """(id, reason, docs, sources) of each document that is residue.
 
     docs and sources: how many documents and sources have the same normalised
-    message; reason is recurring for one found only by them. Null, empty and blank texts are none; a null source counts as one
-    source. Repeated rows come out as often as they come in and count each
-    time. Other columns are not read. Only ids, hashes and sources of texts
-    without a sign of content are shuffled; counts are combined before.
+    message; reason is placeholder, message, filler, or recurring for a message
+    known by its recurrence alone. Null, empty and blank texts are none; a null
+    source counts as one source. Repeated rows come out as often as they come
+    in and count each time. Other columns are not read. Only the messages of
+    texts without a sentence of content are shuffled, combined before.
     """
     ship_code(df.sparkSession)
-    schema = T.StructType(
-        [
-            T.StructField("id", df.schema[id_col].dataType),
-            T.StructField("source", T.StringType()),
-            T.StructField("reason", T.StringType()),
-            T.StructField("certain", T.BooleanType()),
-            T.StructField("code", T.LongType()),
-        ]
-    )
+    said = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("source", T.StringType()), T.StructField("said", T.StringType()), T.StructField("code", T.LongType())])
     rows = spread(df.select(df[id_col].alias("id"), df[source_col].cast("string").alias("source"), df[text_col].alias("text")).where(F.col("text").rlike(r"\S")), "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out_schema = to_arrow_schema(schema)
+        out_schema = to_arrow_schema(said)
         for batch in batches:
-            done = [classify(t) for t in batch.column(2).to_pylist()]
-            take = pa.array([i for i, d in enumerate(done) if d[0] or d[2]], pa.int32())
-            hit = [d for d in done if d[0] or d[2]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array([h[c] for h in hit], out_schema.field(c + 2).type) for c in range(3))], schema=out_schema)
-
-    # kept: the rows that may be residue are few, and both the counts and the result need them
-    classed = cut_lineage(rows.mapInArrow(run, schema))
-    # two-step distinct count: a message of very many documents is first combined per source
-    spreads = classed.groupBy("code", F.coalesce("source", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n")).groupBy("code").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sources"))
+            done = [own_message(t) for t in batch.column(2).to_pylist()]
+            take = pa.array([i for i, m in enumerate(done) if m], pa.int32())
+            texts = [m for m in done if m]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(texts, pa.string()), pa.array([code_of(m) for m in texts], pa.int64())], schema=out_schema)
+
+    # kept: the rows that may be residue are few, and both the groups and the result need them
+    spoken = cut_lineage(rows.mapInArrow(read, said))
+    # two-step count: a message of very many documents is first combined per source
+    per = spoken.groupBy("code", F.coalesce("source", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("said").alias("said"))
+    groups = per.groupBy("code").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("sources"), F.min("said").alias("said"))
     whole = df.groupBy(F.coalesce(df[source_col].cast("string"), F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_docs"), F.count(F.lit(1)).alias("all_sources"))
     recurs = (F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)
-    widely = recurs & (F.col("docs") >= share_docs * F.col("all_docs")) & (F.col("sources") >= share_sources * F.col("all_sources"))
-    return (
-        classed.join(spreads, "code")
-        .crossJoin(F.broadcast(whole))
-        .where(F.col("certain") | (F.col("reason").isNotNull() & recurs) | widely)
-        .select(F.col("id").alias(id_col), F.coalesce("reason", F.lit("recurring")).alias("reason"), "docs", "sources")
-    )
+    widely = (F.col("docs") >= share_docs * F.col("all_docs")) & (F.col("sources") >= share_sources * F.col("all_sources"))
+    known = groups.crossJoin(F.broadcast(whole)).select("code", "docs", "sources", "said", recurs.alias("recurs"), widely.alias("widely"))  # whole is one row
+    named = T.StructType([T.StructField("code", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("sources", T.LongType()), T.StructField("reason", T.StringType())])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out_schema = to_arrow_schema(named)
+        for batch in batches:
+            why = pa.array([judge(*x) for x in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), why], schema=out_schema).filter(why.is_valid())
+
+    residue = known.mapInArrow(name, named)
+    return spoken.select("id", "code").join(residue, "code").select(F.col("id").alias(id_col), "reason", "docs", "sources")
 
 
 def without_residue(df: DataFrame, residue: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -18,6 +18,12 @@ RESIDUE = [
     ("请启用 JavaScript 以查看本文档。", "message"),
     ("Lorem ipsum dolor sit amet consectetur. Enim minim veniam quis nostrud.", "filler"),
     ("test asdf xxx qwer qwer xxx test asdf", "filler"),
+    ("HTTP 418 I'm a teapot", "message"),
+    ("We're sorry but this app doesn't work properly without JavaScript enabled. Please enable it to continue.", "message"),
+    ("For full functionality of this site it is necessary to enable JavaScript.", "message"),
+    ("Pagina non trovata", "message"),
+    ("Under construction", "message"),
+    ("Dear {{first_name}}, your environment is ready.", "placeholder"),
     ("Overview\nComing soon. Content for this section will be added later.", "message"),
 ]
 CONTENT = [
@@ -30,6 +36,8 @@ CONTENT = [
     "Editor's note: the value is TBD and left for further study.",
     "404 Not Found\nThe gateway shall send this status whenever the entry is missing.",
     "Minutes, meeting #3\nAgenda item 2: Error handling",
+    "The server shall return 404 Not Found when the resource does not exist.",
+    "If the page does not exist, the portal returns error 404.",
     "🤖 ok",
     "   ",
     "",
@@ -39,13 +47,12 @@ CONTENT = [
 
 @pytest.mark.parametrize("text,reason", RESIDUE)
 def test_residue(text, reason):
-    got = classify(text)
-    assert got[0] == reason and got[1]
+    assert classify(text) == reason
 
 
 @pytest.mark.parametrize("text", CONTENT)
 def test_content(text):
-    assert classify(text)[0] is None
+    assert classify(text) is None
 
 
 def test_masks():
@@ -81,6 +88,16 @@ def test_unknown_messages_count_when_they_recur_widely(spark):
     assert find_residue(df, share_docs=0.5).count() == 0 and find_residue(df, share_sources=1.1).count() == 0
 
 
+def test_groups_decide_what_is_known_by_a_word_only(spark):
+    """A page that the rules know only by a word counts in a group, and alone does not."""
+    page = "Quota of browser tabs reached. Close tab {} and come back."
+    rows = [(i, page.format(i), f"s{i % 4}") for i in range(8)] + [(100, "Quota of browser tabs grows. Nobody reads tab 5.", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert classify(page) is None
+    assert {(r.doc_id, r.reason, r.docs, r.sources) for r in find_residue(df).collect()} == {(i, "message", 8, 4) for i in range(8)}
+    assert find_residue(df, min_docs=9).count() == 0
+
+
 @pytest.mark.parametrize(
     "text",
     [
@@ -97,7 +114,7 @@ def test_unknown_messages_count_when_they_recur_widely(spark):
     ],
 )
 def test_placeholders_where_values_belong(text):
-    assert classify(text)[:2] == ("placeholder", True)
+    assert classify(text) == "placeholder"
 
 
 @pytest.mark.parametrize(
