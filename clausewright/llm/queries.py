@@ -51,8 +51,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Every clause as clean text, with the kinds of markup found."""
-    return markup.clean_markup(table(spark, d, "clauses", "chunk_id", "text"))
+    """Every clause as clean text with spans of its structure; paths are judged over all clauses."""
+    clauses = table(spark, d, "clauses", "chunk_id", "text")
+    return markup.clean_markup(clauses, residue=markup.corpus_residue(clauses))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
