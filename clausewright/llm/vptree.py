@@ -5,7 +5,10 @@ bounded sample, splits the space into shards; every vector lies in one shard
 and every query goes to each shard that the triangle inequality can't rule
 out. A task builds the tree of its shard and walks it with all its queries at
 once. ``factor`` relaxes the pruning: a side is skipped when it is further than
-``factor`` times the query's reach; at factor one the search is exact.
+``factor`` times the query's reach; at factor one the search is exact. The
+reach is that of the least cosine asked for; where none is, each query first
+looks in its own shard, and the k-th neighbour found there bounds its reach.
+Equal vectors are one in the trees, however many there are.
 
 Vectors are compared on the unit sphere, where the chord sqrt(2 - 2 cos) is a
 metric in the order of the cosine.
@@ -40,9 +43,12 @@ class VpRule:
     dim: int = 64
     leaf: int = 256
     #: Vectors per shard aimed at, which sets the depth of the routing tree.
-    shard_rows: int = 50_000
-    #: Vectors that the routing tree is fitted on; all vectors are indexed.
-    sample_rows: int = 20_000
+    shard_rows: int = 8_192
+    #: Most vectors that the routing tree is fitted on (64 a shard or more, 256 aimed
+    #: at); all vectors are indexed. Beyond some 25 million vectors shards grow instead.
+    sample_rows: int = 200_000
+    #: Queries of a shard that one task aims at; only beyond do a shard's vectors go to several.
+    part_queries: int = 65_536
     #: Queries walked at once.
     block: int = 4_096
     seed: int = 7
@@ -88,16 +94,17 @@ class Router:
         else:
             self.depth = 0
 
-    def route(self, x: np.ndarray, margin: float) -> list[tuple[int, np.ndarray]]:
+    def route(self, x: np.ndarray, margin: np.ndarray | float) -> list[tuple[int, np.ndarray]]:
         """(shard, rows): where each vector lies (margin 0) or has to look."""
         level = [(1, np.arange(len(x)))]
+        margin = np.broadcast_to(margin, len(x))
         for _ in range(self.depth):
             below = []
             for at, rows in level:
                 v, mid = self.nodes[at]
                 d = chord(x[rows], v)
-                below.append((2 * at, rows[d <= mid + margin]))
-                below.append((2 * at + 1, rows[d > mid - margin]))
+                below.append((2 * at, rows[d <= mid + margin[rows]]))
+                below.append((2 * at + 1, rows[d > mid - margin[rows]]))
             level = [(a, r) for a, r in below if len(r)]
         return level
 
@@ -126,21 +133,24 @@ class Tree:
             todo += [(2 * at, a, m), (2 * at + 1, m, b)]
         self.rows = x[self.order]
 
-    def search(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, own: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, rows) of the best k for each query, best first, -2 where there
         are fewer; equal cosines (to six places) by row. own: each query's row here
-        (-1: none), which isn't its own neighbour.
+        (-1: none), which isn't its own neighbour. least: the cosine that each
+        query's neighbours have at least, beside that of the rule.
 
         The queries of a block go down the tree together.
         """
         r = self.rule
         best = np.full((len(q), r.k), -2.0, np.float32)
         who = np.full((len(q), r.k), -1, np.int64)
-        floor = np.float32(r.min_cosine - 1e-6)
+        floor = np.full(len(q), r.min_cosine - 1e-6, np.float32)
+        if least is not None:
+            floor = np.maximum(floor, least - np.float32(TIE))
 
         def leaf(a: int, b: int, at: np.ndarray) -> None:
             s = q[at] @ self.rows[a:b].T
-            i, j = np.nonzero(s >= np.maximum(best[at, -1] - TIE, floor)[:, None])
+            i, j = np.nonzero(s >= np.maximum(best[at, -1] - TIE, floor[at])[:, None])
             other = self.order[a + j] != own[at[i]]
             i, j = i[other], j[other]
             if not len(i):
@@ -172,7 +182,7 @@ class Tree:
             # go first, so that the k-th neighbour so far soon bounds the reach.
             turns = [np.ones(len(rows), bool)] if r.min_cosine > -1 else [d <= (in1 + out0) / 2, d > (in1 + out0) / 2]
             for i, turn in enumerate(turns):
-                margin = r.factor * np.minimum(np.sqrt(np.maximum(2 - 2 * (best[rows, -1] - TIE), 0)) + 1e-6, r.reach)
+                margin = r.factor * (np.sqrt(np.maximum(2 - 2 * np.maximum(best[rows, -1] - TIE, floor[rows]), 0)) + 1e-6)
                 inner = (d <= in1 + margin) & (d >= in0 - margin) & turn
                 outer = (d >= out0 - margin) & (d <= out1 + margin) & turns[-1 - i]
                 if inner.any():
@@ -212,49 +222,79 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, rule: VpRule = VpRule()
     ship_code(spark)
     clean = lambda t: t.select(t[id_col].cast("long").alias("id"), t[vector_col].cast("array<float>").alias("x")).where(F.col("id").isNotNull() & usable(F.col("x"), rule.dim)).groupBy("id").agg(F.max("x").alias("x"))
     vectors = cut_lineage(clean(df))
-    ask = vectors if queries is None else clean(queries)
-    n = vectors.count()
-    depth = max(0, math.ceil(math.log2(max(1.0, n / rule.shard_rows))))
+    counts = vectors.select(F.xxhash64("x").alias("h")).agg(F.count(F.lit(1)), F.countDistinct("h")).first()
+    if counts[0] == counts[1]:  # no two vectors are equal
+        found = _search(vectors, vectors if queries is None else clean(queries), counts[0], counts[0] if queries is None else None, rule)
+        # rounding makes equal cosines equal whichever shard they come from
+        order = Window.partitionBy("id").orderBy(F.round("cosine", 6).desc(), "neighbour")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rule.k).select(F.col("id").alias(id_col), "neighbour", "cosine", "rank")
+    # equal vectors are one, under their least id; their first k + 1 ids are all that can be neighbours
+    one = cut_lineage(vectors.groupBy("x").agg(F.min("id").alias("id")).select("id", "x"))
+    members = cut_lineage(vectors.join(one.withColumnRenamed("id", "one"), "x").select("id", "one"))
+    low = members.withColumn("__n", F.row_number().over(Window.partitionBy("one").orderBy("id"))).where(F.col("__n") <= rule.k + 1).select(F.col("one").alias("neighbour"), F.col("id").alias("other"))
+    asked = members if queries is None else members.join(queries.select(queries[id_col].cast("long").alias("id")).distinct(), "id", "left_semi")
+    n = one.count()
+    found = _search(one, one if queries is None else one.join(asked.select(F.col("one").alias("id")).distinct(), "id", "left_semi"), n, n if queries is None else None, rule)
+    best = found.select("id", "neighbour", "cosine").unionByName(asked.select(F.col("one").alias("id")).distinct().select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine")))
+    order = Window.partitionBy("id").orderBy(F.round("cosine", 6).desc(), "other")
+    # k + 1 candidates a vector: each of its ids leaves itself out
+    few = best.join(low, "neighbour").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rule.k + 1)
+    few = few.groupBy(F.col("id").alias("one")).agg(F.array_sort(F.collect_list(F.struct("n", "other", "cosine"))).alias("few"))
+    rows = asked.join(few, "one").select("id", F.slice(F.filter("few", lambda x: x["other"] != F.col("id")), 1, rule.k).alias("few"))
+    return rows.select(F.col("id").alias(id_col), F.posexplode("few").alias("p", "x")).select(id_col, F.col("x.other").alias("neighbour"), F.col("x.cosine").alias("cosine"), (F.col("p") + 1).alias("rank"))
+
+
+def _search(vectors: DataFrame, ask: DataFrame, n: int, asks: int | None, rule: VpRule) -> DataFrame:
+    """(id, neighbour, cosine): the best k of every shard that a query has to look in."""
+    spark = vectors.sparkSession
+    most = max(0, int(math.log2(max(1, rule.sample_rows // 64))))
+    depth = min(most, max(0, math.ceil(math.log2(max(1.0, n / rule.shard_rows)))))
     sample = np.empty((0, rule.dim), np.float32)
     if depth:
         # the sample only places the shard borders; it is bounded by sample_rows
-        some = vectors.where(F.pmod(F.xxhash64("id", F.lit(rule.seed)), F.lit(max(1, n // rule.sample_rows))) == 0).select("x").limit(2 * rule.sample_rows).toPandas()
+        size = min(rule.sample_rows, 256 * 2**depth)
+        some = vectors.where(F.pmod(F.xxhash64("id", F.lit(rule.seed)), F.lit(max(1, n // size))) == 0).select("x").limit(size).toPandas()
         sample = _unit(pa.array(some["x"].tolist(), pa.list_(pa.float32())), rule.dim) if len(some) else sample
     router = Router(sample, depth, rule)
     sent = spark.sparkContext.broadcast(router)  # 2 ** depth vantage points
-    margin = rule.factor * rule.reach
-    shard_type = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("asks", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType())])
-    # queries of a shard go to several tasks, each with the shard's vectors
-    parts = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / max(1, 2**depth)))
+    # a shard's vectors go to one task, unless its queries are too many for one
+    parts = max(1, math.ceil((ask.count() if asks is None else asks) / 2**router.depth / rule.part_queries))
+    # without a least cosine each query looks in its own shard first
+    twice = rule.min_cosine <= -1 and router.depth > 0
+    shards = 2**router.depth
+    row_type = T.StructType([T.StructField("task", T.IntegerType()), T.StructField("asks", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("least", T.FloatType()), T.StructField("x", T.BinaryType())])
 
-    def place(asks: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
+    def place(what: str):
+        """held: each vector into its shard; own, all, others: queries into their own, all or the other shards they need."""
 
-            out_schema = to_arrow_schema(shard_type)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x, ids = _unit(batch.column(1), rule.dim), batch.column(0).to_numpy()
+                least = batch.column(2).to_numpy() if what == "others" else np.full(len(x), rule.min_cosine, np.float32)
                 raw = np.array([v.tobytes() for v in x], object)
-                for shard, rows in sent.value.route(x, margin if asks else 0.0):
-                    for part in [None] if asks else range(parts):
-                        which = (ids[rows] // 7 % parts).astype(np.int32) if part is None else np.full(len(rows), part, np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(which), pa.array(np.full(len(rows), asks)), pa.array(ids[rows]), pa.array(list(raw[rows]), pa.binary())], schema=out_schema)
+                margin = 0.0 if what in ("held", "own") else rule.factor * (np.sqrt(np.maximum(2 - 2 * (least.astype(float) - TIE), 0)) + 1e-6)
+                home = np.zeros(len(x), np.int64)
+                if what == "others":
+                    for shard, rows in sent.value.route(x, 0.0):
+                        home[rows] = shard
+                for shard, rows in sent.value.route(x, margin):
+                    rows = rows[home[rows] != shard]
+                    for part in range(parts) if what == "held" else [None]:
+                        which = np.full(len(rows), part) if part is not None else ids[rows] // 7 % parts
+                        task = ((shard - shards) * parts + which).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.full(len(rows), what != "held")), pa.array(ids[rows]), pa.array(least[rows].astype(np.float32)), pa.array(list(raw[rows]), pa.binary())], names=row_type.names)
 
         return run
 
-    placed = vectors.mapInArrow(place(False), shard_type).unionByName(ask.mapInArrow(place(True), shard_type))
     out_type = T.StructType([T.StructField("id", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("cosine", T.DoubleType())])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out_schema = to_arrow_schema(out_type)
-        key, ids, xs, tree, asked, asked_x = None, [], [], None, [], []
+        key, ids, xs, tree, asked = None, [], [], None, []
 
         def flush():
-            nonlocal tree, asked, asked_x
+            nonlocal tree, asked
             if not asked:
                 return
             own_ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
@@ -262,35 +302,44 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, rule: VpRule = VpRule()
             own_ids = own_ids[by]
             if tree is None:
                 tree = Tree(np.concatenate(xs)[by] if xs else np.empty((0, rule.dim), np.float32), rule)
-            q, qx = np.concatenate(asked), np.concatenate(asked_x)
-            asked, asked_x = [], []
+            q, least, qx = (np.concatenate(c) for c in zip(*asked))
+            asked = []
             at = np.minimum(np.searchsorted(own_ids, q), max(0, len(own_ids) - 1))
             own = np.where(own_ids[at] == q, at, -1) if len(own_ids) else np.full(len(q), -1)
-            cos, who = tree.search(qx, own)
+            cos, who = tree.search(qx, own, least)
             i, j = np.nonzero(who >= 0)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(own_ids[who[i, j]]), pa.array(cos[i, j].astype(float))], schema=out_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(own_ids[who[i, j]]), pa.array(cos[i, j].astype(float))], names=out_type.names)
 
         for batch in batches:
-            shards, which, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            code = shards.astype(np.int64) * (1 << 20) + which
+            code, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
             edges = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (asks[1:] != asks[:-1])))) if len(code) else []
             for a, b in zip(edges, [*edges[1:], len(code)]):
                 if code[a] != key:
                     yield from flush()
                     key, ids, xs, tree = code[a], [], [], None
                 x = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), np.float32).reshape(-1, rule.dim)
-                (asked if asks[a] else ids).append(batch.column(3).slice(a, b - a).to_numpy())
-                (asked_x if asks[a] else xs).append(x)
-                if asks[a] and sum(map(len, asked)) >= 4 * rule.block:
+                i = batch.column(2).slice(a, b - a).to_numpy()
+                if asks[a]:
+                    asked.append((i, batch.column(3).slice(a, b - a).to_numpy(), x))
+                else:
+                    ids.append(i)
+                    xs.append(x)
+                if asks[a] and sum(len(c[0]) for c in asked) >= 4 * rule.block:
                     yield from flush()
         yield from flush()
 
-    tasks = max(1, parts * 2**depth)
-    found = placed.repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "asks").mapInArrow(look, out_type)
-    # rounding makes equal cosines equal whichever shard they come from
-    order = Window.partitionBy("id").orderBy(F.round("cosine", 6).desc(), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rule.k).select(F.col("id").alias(id_col), "neighbour", "cosine", "rank")
+    held = vectors.mapInArrow(place("held"), row_type)
+
+    def scan(asking: DataFrame) -> DataFrame:
+        return held.unionByName(asking).repartitionById(parts * shards, F.col("task")).sortWithinPartitions("task", "asks").mapInArrow(look, out_type)
+
+    if not twice:
+        return scan(ask.mapInArrow(place("all"), row_type))
+    near = cut_lineage(scan(ask.mapInArrow(place("own"), row_type)))
+    kth = near.groupBy("id").agg(F.when(F.count(F.lit(1)) >= rule.k, F.min("cosine")).alias("least"))
+    bound = ask.join(kth, "id", "left").select("id", "x", F.coalesce("least", F.lit(-1.0)).cast("float").alias("least"))
+    return near.unionByName(scan(bound.mapInArrow(place("others"), row_type)))
 
 
 def mutual(neighbours: DataFrame, id_col: str) -> DataFrame:

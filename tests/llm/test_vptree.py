@@ -89,3 +89,18 @@ def test_pair_rule_finds_planted_pairs_of_the_lowest_band():
     q = c * p + np.sqrt(1 - c**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
     _, who = Tree(x.astype(np.float32), PAIR_RULE).search(q.astype(np.float32), np.full(1_000, -1))
     assert (who == np.arange(1_000)[:, None]).any(1).mean() > 0.998
+
+
+def test_a_third_of_all_vectors_equal(spark):
+    """Copies are one vector in the trees; each has the least ids of the others as neighbours."""
+    rng = np.random.default_rng(8)
+    same, x = rng.normal(size=8), rng.normal(size=(120, 8))
+    ids = [int(i) for i in rng.permutation(180)]
+    rows = [(i, [float(a) for a in (same if k < 60 else x[k - 60])]) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    want = brute([i for i, _ in rows], np.array([v for _, v in rows]), 5)
+    for rule in (VpRule(dim=8, leaf=10), VpRule(dim=8, leaf=10, shard_rows=30, part_queries=20)):
+        assert {(r.id, r.neighbour) for r in nearest(df, "id", "v", rule).collect()} == want
+        got = nearest(df, "id", "v", rule, df.where("id % 4 = 0")).collect()
+        assert {(r.id, r.neighbour) for r in got} == {p for p in want if p[0] % 4 == 0}
+        assert sorted((r.id, r["rank"]) for r in got) == sorted((i, n) for i in range(0, 180, 4) for n in range(1, 6))
