@@ -34,6 +34,9 @@ _SEPARATORS = (
 _LAST_SPACE = 0x3000
 _IS_SPACE = np.array([chr(i).isspace() for i in range(_LAST_SPACE + 1)] + [False])
 
+#: Ends of sentences that no blank follows (ideographic full stop, full-width marks).
+_FULL_STOPS = np.array([0x3002, 0xFF01, 0xFF1F], np.uint32)
+
 HASH_WINDOW = 32
 _MIX = np.uint32(2654435761)
 
@@ -84,8 +87,8 @@ def landmarks(codes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """White-space runs inside a text: where units end, where the next begin, and
-    the level (0 paragraph ... 3 word)."""
+    """White-space runs inside a text, and the ends of sentences in scripts without
+    blanks: where units end, where the next begin, and the level (0 paragraph ... 3 word)."""
     space = _IS_SPACE[np.minimum(codes, _LAST_SPACE + 1)]
     flips = np.flatnonzero(space[1:] != space[:-1]) + 1
     if space[0]:
@@ -96,8 +99,14 @@ def boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lines = np.concatenate(([0], np.cumsum(codes == 10)))
     n = lines[begins] - lines[ends]
     before = codes[ends - 1]
-    sentence = (before == 46) | (before == 33) | (before == 63)
-    return ends, begins, np.where(n > 1, 0, np.where(n == 1, 1, np.where(sentence, 2, 3))).astype(np.int8)
+    sentence = (before == 46) | (before == 33) | (before == 63) | np.isin(before, _FULL_STOPS)
+    levels = np.where(n > 1, 0, np.where(n == 1, 1, np.where(sentence, 2, 3))).astype(np.int8)
+    close = np.flatnonzero(np.isin(codes[:-1], _FULL_STOPS) & ~space[1:] & ~np.isin(codes[1:], _FULL_STOPS)) + 1
+    if len(close):
+        ends, begins, levels = np.concatenate((ends, close)), np.concatenate((begins, close)), np.concatenate((levels, np.full(len(close), 2, np.int8)))
+        order = np.argsort(ends, kind="stable")
+        ends, begins, levels = ends[order], begins[order], levels[order]
+    return ends, begins, levels
 
 
 def cut(text: str, rule: ChunkRule = ChunkRule()) -> list[tuple[int, int, int, str]]:

@@ -177,12 +177,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
 def remove_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", drop_documents: bool = False) -> DataFrame:
     """The corpus without its leaks: documents dropped, or only the spans cut out.
 
-    Documents without leaks pass unchanged, null texts stay null. Only leaking
-    documents' spans are shuffled, to meet their documents.
+    Documents without leaks pass unchanged, null texts stay null. Documents with
+    a null id can't be told apart: they stay, whatever was found in them. Only
+    leaking documents' spans are shuffled, to meet their documents.
     """
     own = leaks.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
     if drop_documents:
-        return docs.join(own.select("__doc"), docs[doc_id].eqNullSafe(F.col("__doc")), "left_anti")
+        return docs.join(own.select("__doc"), docs[doc_id] == F.col("__doc"), "left_anti")
     # per document at most one span list per test item
     one = own.select("__doc", F.explode("__spans").alias("__s")).groupBy("__doc").agg(F.array_sort(F.collect_set("__s")).alias("__spans"))
     joined = docs.join(one, docs[doc_id] == F.col("__doc"), "left")

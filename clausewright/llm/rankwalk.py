@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,33 +161,51 @@ def _runs(col: pa.Array) -> np.ndarray:
 def _walk_distributed(items: DataFrame, m: int, damping: float, steps: int) -> DataFrame:
     """The same walk for groups too large for one task.
 
-    Every score's items are range-partitioned by value into blocks that keep
-    ties together; a prefix sum is the sum of the lower blocks (a few rows per
-    block) plus the running sum within the block.
+    Items of equal value are one value with a mass, combined on the map side,
+    so that the many items without a score are no burden to one task. Each
+    score's values are range-partitioned into blocks; a prefix sum is the sum
+    of the lower blocks (a few rows per block) plus the running sum within the
+    block. Stops like the local form once a step moves no share any more.
     """
     low = float("-inf")
-    long = items.select("g", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("s"), F.coalesce(f"s{k}", F.lit(low)).alias("v")) for k in range(m)])).alias("x")).select("g", "i", "x.s", "x.v")
-    blocks = cut_lineage(long.repartitionByRange("g", "s", "v").withColumn("b", F.spark_partition_id()))
-    within = Window.partitionBy("g", "s", "b").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    below = Window.partitionBy("g", "s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-
-    def prefix(df: DataFrame, x: str) -> DataFrame:
-        """Sum of x over items at most as high: ``run``."""
-        offsets = df.groupBy("g", "s", "b").agg(F.sum(x).alias("__sum")).withColumn("__below", F.coalesce(F.sum("__sum").over(below), F.lit(0.0))).drop("__sum")
-        return df.withColumn("__run", F.sum(x).over(within)).join(F.broadcast(offsets), ["g", "s", "b"]).withColumn("run", F.col("__run") + F.col("__below")).drop("__run", "__below")
-
-    size = items.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    ties = Window.partitionBy("g", "s", "b", "v")
-    ranked = prefix(blocks.withColumn("one", F.lit(1.0)), "one").join(F.broadcast(size), "g")
-    ranked = cut_lineage(ranked.select("g", "i", "s", "b", "v", "n", (F.col("run") / F.col("n")).alias("stay")))
-    p = items.join(F.broadcast(size), "g").select("g", "i", (1.0 / F.col("n")).alias("p"))
+    long = items.select("g", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("s"), F.coalesce(f"s{k}", F.lit(low)).alias("v")) for k in range(m)])).alias("x")).select(_group("g").alias("h"), "g", "i", "x.s", "x.v")
+    long = cut_lineage(long)
+    key = ["h", "s", "v"]
+    blocks = cut_lineage(long.groupBy(*key).agg(F.sum(F.lit(1.0)).alias("n")).repartitionByRange(*key).withColumn("b", F.spark_partition_id()))
+    within = Window.partitionBy("h", "s", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy("h", "s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def below(values: DataFrame, x: str) -> DataFrame:
+        """Sum of x over lower values: ``below``."""
+        offsets = values.groupBy("h", "s", "b").agg(F.sum(x).alias("__sum")).withColumn("__off", F.coalesce(F.sum("__sum").over(lower), F.lit(0.0))).drop("__sum")
+        return values.withColumn("__in", F.coalesce(F.sum(x).over(within), F.lit(0.0))).join(F.broadcast(offsets), ["h", "s", "b"]).withColumn("below", F.col("__in") + F.col("__off")).drop("__in", "__off")
+
+    size = items.groupBy(_group("g").alias("h")).agg(F.count(F.lit(1)).cast("double").alias("size"))  # a row a group
+    stay = below(blocks, "n").join(F.broadcast(size), "h").select(*key, ((F.col("below") + F.col("n")) / F.col("size")).alias("stay"))
+    ranked = cut_lineage(long.join(stay, key).join(F.broadcast(size), "h"))
+    item = ["h", "g", "i"]
+    p = items.select(_group("g").alias("h"), "g", "i").join(F.broadcast(size), "h").select(*item, (1.0 / F.col("size")).alias("p"))
     for step in range(steps):
-        flow = prefix(ranked.join(p, ["g", "i"]), "p").withColumn("below", F.col("run") - F.sum("p").over(ties))
-        p = flow.groupBy("g", "i").agg(((1.0 - damping) / F.first("n") + damping / m * F.sum(F.col("p") * F.col("stay") + F.col("below") / F.col("n"))).alias("p"))
+        q = p.select(F.col("h").alias("ph"), F.col("i").alias("pi"), "p")
+        flow = ranked.join(q, (ranked["h"] == q["ph"]) & ranked["i"].eqNullSafe(q["pi"])).drop("ph", "pi")
+        mass = flow.groupBy(*key).agg(F.sum("p").alias("mass")).join(blocks.select(*key, "b"), key)
+        flow = flow.join(below(mass, "mass").select(*key, "below"), key)
+        new = flow.groupBy(*item).agg(((1.0 - damping) / F.first("size") + damping / m * F.sum(F.col("p") * F.col("stay") + F.col("below") / F.col("size"))).alias("p"))
+        new = cut_lineage(new)  # the flow stands twice in a step: without a cut the plan would double with each
         if step % 5 == 4:
-            p = cut_lineage(p)
-    share = p.select("g", "i", F.col("p").alias("share"))
+            old = p.select(F.col("h").alias("ph"), F.col("i").alias("pi"), F.col("p").alias("was"))
+            moved = new.join(old, (new["h"] == old["ph"]) & new["i"].eqNullSafe(old["pi"])).agg(F.max(F.abs(F.col("p") - F.col("was")))).first()[0]
+            if moved is None or moved < 1e-13:
+                p = new
+                break
+        p = new
+    share = p.select("h", "g", "i", F.col("p").alias("share"))
     # ranks of a large group by the same two-level form
-    placed = cut_lineage(share.withColumn("neg", -F.round("share", 12)).repartitionByRange("g", "neg", "i").withColumn("b", F.spark_partition_id()))
-    offsets = placed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__below", F.coalesce(F.sum("__n").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return placed.withColumn("__rn", F.row_number().over(Window.partitionBy("g", "b").orderBy("neg", "i"))).join(F.broadcast(offsets), ["g", "b"]).select("g", "i", "share", (F.col("__rn") + F.col("__below")).cast("long").alias("rank"))
+    placed = cut_lineage(share.withColumn("neg", -F.round("share", 12)).repartitionByRange("h", "neg", "i").withColumn("b", F.spark_partition_id()))
+    offsets = placed.groupBy("h", "b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__below", F.coalesce(F.sum("__n").over(Window.partitionBy("h").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return placed.withColumn("__rn", F.row_number().over(Window.partitionBy("h", "b").orderBy("neg", "i"))).join(F.broadcast(offsets), ["h", "b"]).select("g", "i", "share", (F.col("__rn") + F.col("__below")).cast("long").alias("rank"))
+
+
+def _group(g: str) -> Column:
+    """A group as text that is never null, so that a null group meets itself in joins."""
+    return F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit(""))

@@ -58,3 +58,10 @@ def test_rows(spark):
     assert {r.boundary for r in out if r.chunk_id == 3} == {"none"}
     assert split_oversized(df, only_oversized=True).where("piece = 0").count() == 2
     assert split_oversized(df.limit(0)).count() == 0
+
+
+def test_sentences_without_blanks_are_boundaries():
+    text = "".join(f"网关应存储第{i}个标识符，并不得丢弃计数器。" for i in range(300))
+    pieces = cut(text)
+    assert all(e - a <= 2000 for a, _, e, _ in pieces) and {x[3] for x in pieces[:-1]} == {"sentence"}
+    assert "".join(text[f:e] for _, f, e, _ in pieces) == text and all(text[e - 1] == "。" for _, _, e, _ in pieces)
