@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,7 +162,6 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, heading_col: str
     are not read.
     """
     spark = df.sparkSession
-    reach = 1 - rule.threshold + 1e-9
     rows = df.select(
         df[id_col].cast("long").alias("id"),
         (df[heading_col] if heading_col else F.lit(None).cast("string")).alias("heading"),
@@ -170,48 +170,58 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, heading_col: str
     rows = rows.withColumn("copy", F.unhex(F.md5(F.concat(F.coalesce("heading", F.lit("")), F.lit("\u0000"), "text"))))
     # exact copies: one record each, under the least id
     records = rows.groupBy("copy").agg(F.min("id").alias("id"), F.first("heading").alias("heading"), F.first("text").alias("text"))
-    # laid out by id once, so that the joins below move only the narrow side
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    features = cut_lineage(record_features(records, rule).repartition(parts, "id"))
+    read = cut_lineage(record_features(records, rule))
+    # records of the same shingles are one node, named by the hash of its shingles. Nodes are
+    # laid out by it once; a lost part of them is computed again from what was written.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    nodes = read.repartition(parts, "same").groupBy("same").agg(F.first("bands").alias("bands"), F.first("grams").alias("grams")).persist(StorageLevel.DISK_ONLY)
+    try:
+        label, more = _links(nodes.withColumnRenamed("same", "id"), rule)
+    finally:
+        nodes.unpersist()
+    merged = connected_components(more, "a", "b")
+    low = lambda t, name: t.select(F.col("u").alias("c"), F.col("component").alias(name))
+    placed = (
+        read.select("copy", "id", F.col("same").alias("c"))
+        .join(low(label, "l"), "c", "left").select("copy", "id", F.coalesce("l", "c").alias("c"))
+        .join(low(merged, "m"), "c", "left").select("copy", "id", F.coalesce("m", "c").alias("c"))
+    )
+    groups = placed.groupBy("c").agg(F.min("id").alias("group"))
+    final = placed.join(groups, "c").select("copy", "group")
+    return rows.select(F.col("id").alias("member"), "copy").distinct().join(final, "copy").select(F.col("member").alias(id_col), "group").distinct()
 
-    # records of the same shingles
-    first = features.groupBy("same").agg(F.min("id").alias("b"))
-    equal = features.select("id", "same").join(first, "same").where("id <> b").select(F.col("id").alias("a"), "b")
-    apart = features.join(equal.select(F.col("a").alias("id")), "id", "left_anti").select("id", "bands")
 
-    # stars: each record and the bucket head it shares most bands with
-    banded = apart.select("id", F.explode(F.slice("bands", 1, rule.star_bands)).alias("key"))
+def _links(nodes: DataFrame, rule: NearDupRule) -> tuple[DataFrame, DataFrame]:
+    """nodes: id, bands, grams. (u, component) by stars, and (a, b) links between those components."""
+    reach = 1 - rule.threshold + 1e-9
+    # stars: each node and the bucket head it shares most bands with
+    banded = nodes.select("id", F.explode(F.slice("bands", 1, rule.star_bands)).alias("key"))
     heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last")
     most = banded.join(heads, "key").where("id <> head").groupBy("id", "head").count().groupBy("id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("b"))
-    stars = cut_lineage(_shared(most.select(F.col("id").alias("a"), "b"), features).where(F.col("far") <= reach))
+    stars = cut_lineage(_shared(most.select(F.col("id").alias("a"), "b"), nodes).where(F.col("far") <= reach))
     label = connected_components(stars.select("a", "b"), "a", "b")
 
     # what is still apart and has two bands in common with another component
     star = stars.select(F.col("a").alias("id"), F.col("b").alias("head"), "far")
-    named = apart.join(label.withColumnRenamed("u", "id"), "id", "left").select("id", "bands", F.coalesce("component", "id").alias("label"))
+    named = nodes.select("id", "bands").join(label.withColumnRenamed("u", "id"), "id", "left").select("id", "bands", F.coalesce("component", "id").alias("label"))
     met = _mixed(named.select("id", "label", F.explode("bands").alias("key")))
     keys = met.groupBy("id", "label").agg(F.array_sort(F.collect_set("key")).alias("ks"))  # at most one key a band
     two = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
-    met = _mixed(keys.where(F.size("ks") > 1).select("id", "label", F.explode(two).alias("key")))
+    met = _mixed(cut_lineage(keys.where(F.size("ks") > 1)).select("id", "label", F.explode(two).alias("key")))
     met = cut_lineage(met.join(star, "id", "left").select("key", "id", "label", F.coalesce("head", "id").alias("head"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    more = _across(met, features, reach)
+    return label, cut_lineage(_across(met, nodes, reach))
 
-    # exact copies and equal records join their record's group
-    merged = connected_components(cut_lineage(more), "a", "b")
-    low = lambda t, name: t.select(F.col("u").alias("c"), F.col("component").alias(name))
-    final = (
-        features.select("copy", F.col("id").alias("own"), "same").join(first, "same").withColumnRenamed("b", "c")
-        .join(low(label, "l"), "c", "left").select("copy", F.coalesce("l", "c").alias("c"))
-        .join(low(merged, "m"), "c", "left").select("copy", F.coalesce("m", "c").alias("c"))
-    )
-    return rows.select(F.col("id").alias("member"), "copy").distinct().join(final, "copy").select(F.col("member").alias(id_col), F.col("c").alias("group")).distinct()
+
+#: Keys that go to every executor (some 50 MB); more meet their rows in a shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
     """(id, label, key) of the keys that more than one label has: combined on the map
     side, so a key of very many rows is no burden to one task."""
-    some = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(some, "key", "left_semi")
+    some = cut_lineage(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"))
+    few = some.count() <= MAX_BROADCAST_KEYS
+    return rows.join(F.broadcast(some) if few else some, "key", "left_semi")
 
 
 def _across(met: DataFrame, features: DataFrame, reach: float) -> DataFrame:
