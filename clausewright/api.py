@@ -6,6 +6,8 @@ until the result is used; filters reach the scan.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,31 +15,49 @@ from .functions import text as X
 from .functions import versioning as V
 from .operators import glossary as G
 from .operators import lineage as L
+from .retrieval import index as I
 from .retrieval import search as S
+from .session import checkpoint_dir
 from .sources.tables import table
 
 
 class Corpus:
     """Tools over one corpus folder."""
 
-    def __init__(self, spark: SparkSession, directory: str) -> None:
-        self.spark, self.directory = spark, directory
+    def __init__(self, spark: SparkSession, directory: str, index_path: str | None = None) -> None:
+        self.spark, self.directory, self.index_path, self._ready = spark, directory, index_path, False
 
     def table(self, name: str, *columns: str) -> DataFrame:
         return table(self.spark, self.directory, name, *columns)
 
-    def search_spec(self, query: str, release: str | None = None, spec_id: str | None = None, k: int = 10, mode: str = "lexical", rerank: bool = True, offset: int = 0) -> DataFrame:
-        """Hits of one query, page by page; one row more than ``k`` tells that pages follow.
+    def index(self) -> I.SearchIndex:
+        """The corpus' stored search index, brought up to date with its tables."""
+        path = self.index_path or f"{checkpoint_dir(self.spark)}/index-{hashlib.sha1(self.directory.encode()).hexdigest()[:16]}"
+        if not self._ready:
+            I.extend_index(self.table("clauses"), self.table("clause_sparse"), path)
+            self._ready = True
+        return I.open_index(self.spark, path)
+
+    def search_spec(self, query: str, release: str | None = None, spec_id: str | None = None, k: int = 10, mode: str = "hybrid", rerank: bool = True, cursor: str = "", vector: list[float] | None = None) -> S.Page:
+        """One page of hits with the cursor of the next (empty on the last) and the report of the arms.
 
         A free text has no sparse vector, so the sparse arm gives nothing for it
-        unless the corpus' ``search_queries`` holds the text.
+        unless the corpus' ``search_queries`` holds the text; the dense arm
+        serves where a ``vector`` comes with the query. A cursor of another
+        query, filter or mode is refused.
         """
+        parts = (query, release or "", spec_id or "", mode, str(rerank))
+        offset = S.read_cursor(cursor, *parts) if cursor else 0
         known = self.table("search_queries").where(F.col("query_text") == query).select("query_id").limit(1)
         queries = self.spark.createDataFrame([(0, query)], "query_id long, query_text string")
-        terms = self.table("query_terms").join(known, "query_id", "left_semi").withColumn("query_id", F.lit(0).cast("long"))
+        terms = None if known.isEmpty() else self.table("query_terms").join(known, "query_id", "left_semi").withColumn("query_id", F.lit(0).cast("long"))
+        vectors = self.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, x array<double>") if vector else None
+        # one hit more than the page tells whether pages follow
         request = S.SearchRequest(k=offset + k + 1, mode=mode, rerank=rerank, release=release, spec_id=spec_id)
-        hits = S.search_spec(self.table("clauses"), self.table("clause_sparse"), queries, terms, request)
-        return hits.where(F.col("rank") > offset).drop("query_id")
+        hits = S.search_spec(self.index(), queries, terms, vectors, request)
+        more = hits.where(F.col("rank") > offset + k)
+        rows = hits.where((F.col("rank") > offset) & (F.col("rank") <= offset + k)).drop("query_id")
+        return S.Page(rows, "" if more.isEmpty() else S.write_cursor(offset + k, *parts), request.report)
 
     def get_spec(self, spec_id: str, release: str | None = None, version: str | None = None, clause: str | None = None) -> DataFrame:
         """Clauses of a spec in order, by default of its latest (stable) version, with citations."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 
 def align(*tables: DataFrame) -> list[DataFrame]:
     """The tables on their common columns, never by position."""
@@ -79,25 +81,44 @@ def same_multiset(a: DataFrame, b: DataFrame) -> bool:
     return sorted(b.columns) == cols and fingerprint(a, cols).first() == fingerprint(b, cols).first()
 
 
+def restore(spark: SparkSession, path: str) -> None:
+    """Bring a table back that a writer left between its two renames.
+
+    The new copy takes its place if it was written to the end, else the old one;
+    what is left over of a finished swap goes.
+    """
+    fresh, old = path.rstrip("/") + ".next", path.rstrip("/") + ".old"
+    if files.exists(spark, path):
+        files.remove(spark, old)
+    elif files.exists(spark, old):
+        whole = files.exists(spark, f"{fresh}/_SUCCESS")
+        files.move(spark, fresh if whole else old, path)
+        files.remove(spark, old)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of ``write_if_changed``; None only where nothing was ever written."""
+    restore(spark, path)
+    return spark.read.parquet(path) if files.exists(spark, path) else None
+
+
 def write_if_changed(new: DataFrame, path: str) -> bool:
     """Write a relation unless the folder already holds the same; into a new folder, then swapped.
 
-    Returns whether it wrote. A reader never sees half a relation.
+    Returns whether it wrote. One writer at a time. The swap is two renames; a
+    reader in between finds no table (never half of one), and a writer that
+    stops in between leaves both copies, of which ``restore`` makes one again.
     """
     spark = new.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if fs.exists(target) and same_multiset(new, spark.read.parquet(path)):
+    held = read_table(spark, path)
+    if held is not None and same_multiset(new, held):
         return False
-    fresh = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".next")
-    old = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
-    new.write.mode("overwrite").parquet(fresh.toString())
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    fs.delete(old, True)
+    fresh, old = path.rstrip("/") + ".next", path.rstrip("/") + ".old"
+    new.write.mode("overwrite").parquet(fresh)
+    if held is not None:
+        files.move(spark, path, old)
+    files.move(spark, fresh, path)
+    files.remove(spark, old)
     return True
 
 

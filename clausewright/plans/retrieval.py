@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import versioning as V
 from ..retrieval import arms as A
+from ..retrieval import index as I
 from ..retrieval import search as S
+from ..session import checkpoint_dir
 from ..sources.tables import table
 from .registry import Registry
 
@@ -20,6 +24,29 @@ def _clauses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "clauses", "chunk_id", "spec_id", "release", "version", "clause_path", "heading", "text")
 
 
+def stored_index(spark: SparkSession, d: str) -> I.SearchIndex:
+    """The corpus' search index, stored in the shared folder and brought up to date once a session."""
+    path = f"{checkpoint_dir(spark)}/index-{hashlib.sha1(d.encode()).hexdigest()[:16]}"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _READY:
+        I.extend_index(table(spark, d, "clauses"), table(spark, d, "clause_sparse"), path)
+        _READY.add(key)
+    return I.open_index(spark, path)
+
+
+_READY: set[tuple[str, str]] = set()
+
+
+def query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A vector for each search query. The tables hold none, so query q takes that of the q-th
+    embedded clause in the order of chunk ids."""
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, d, "clauses", "chunk_id", "embedding").where(X.clean_vector(x, 64)).select("chunk_id", x.alias("x"))
+    near = rows.orderBy("chunk_id").limit(table(spark, d, "search_queries").count())  # one for each query
+    placed = near.withColumn("n", F.row_number().over(Window.orderBy("chunk_id")))
+    return placed.select(F.col("n").cast("long").alias("query_id"), "x").join(table(spark, d, "search_queries", "query_id"), "query_id", "left_semi")
+
+
 _BM25 = """
 with q as (select distinct query_id, unnest(regexp_extract_all(lower(query_text), '[a-z0-9]+')) as token from search_queries),
 t as (select {id} as id, regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+') as ts from {docs}),
@@ -49,7 +76,7 @@ o as (select *, row_number() over (partition by query_id, spec_id, clause_path o
 
 @add("ret_03_bm25_paragraphs", _CA + "select query_id, chunk_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, spec_id, clause_path nulls first, chunk_id) as rank from o where n = 1) where rank <= 10")
 def ret_03(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.lexical_arm(_clauses(spark, d), table(spark, d, "search_queries"), 10)
+    hits = S.lexical_arm(stored_index(spark, d), table(spark, d, "search_queries"), 10)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -102,6 +129,7 @@ def ret_09(spark: SparkSession, d: str) -> DataFrame:
     return out.orderBy(F.desc("w"), "chunk_id").limit(20)
 
 
+_INTENT_SQL = """case when regexp_matches(query_text, '(?i)(diff|change|évolution|difference|différence).*\\brel-?\\d+\\b.*\\brel-?\\d+\\b') and regexp_matches(query_text, '(?i)(^|[^\\pL\\pN_])(diff|change|évolution|difference|différence)($|[^\\pL\\pN_])') then 'changelog' when regexp_matches(query_text, '(?i)(^|[^\\pL\\pN_])(replace[sd]?|remplace|équivalent|evolution|migration|maps to)($|[^\\pL\\pN_])') then 'graph' when regexp_matches(query_text, '(?i)(^|[^\\pL\\pN_])(defined|definition|définition|expansion|stands for|signifie)($|[^\\pL\\pN_])') and regexp_matches(query_text, '\\b[A-Z][A-Z0-9]{1,7}\\b') then 'glossary' when regexp_matches(query_text, '\\bT[SR]\\s?[0-9][0-9]\\.[0-9]{3}\\b') then 'spec_lookup' else 'hybrid' end"""
 _TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')"
 
 
@@ -120,7 +148,7 @@ def ret_13(spark: SparkSession, d: str) -> DataFrame:
     return S.federated(ranked, "half", ["chunk_id"], 10).select("query_id", "chunk_id", "half", F.col("rank").cast("long").alias("rank"))
 
 
-@add("ret_01_intent", "select query_id, case when regexp_matches(query_text, '(?i)\\b(replace[sd]?|migration|evolution|maps to)\\b') then 'graph' when regexp_matches(query_text, '(?i)\\b(defined|definition|expansion|stands for)\\b') and regexp_matches(query_text, '\\b[A-Z][A-Z0-9]{1,7}\\b') then 'glossary' when regexp_matches(query_text, '\\bT[SR]\\s?[0-9][0-9]\\.[0-9]{3}\\b') then 'spec_lookup' else 'hybrid' end as intent from search_queries")
+@add("ret_01_intent", f"select query_id, {_INTENT_SQL} as intent from search_queries")
 def ret_01(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "search_queries", "query_id", "query_text").select("query_id", S.intent("query_text").alias("intent"))
 
@@ -146,30 +174,62 @@ def ret_20(spark: SparkSession, d: str) -> DataFrame:
     return A.top_k(h, 5, ["spec_id", "clause"]).select("query_id", "spec_id", "clause", F.col("rank").cast("long").alias("rank"))
 
 
-_SEARCH = (
-    _CA
-    + """, lx as (select query_id, spec_id, release, version, clause_path, chunk_id, 0 as l, row_number() over (partition by query_id order by score desc, spec_id, clause_path nulls first, chunk_id) as r from o where n = 1),
+_V3 = "coalesce(try_cast(split_part({0}, '.', 1) as int), 0) desc, coalesce(try_cast(split_part({0}, '.', 2) as int), 0) desc, coalesce(try_cast(split_part({0}, '.', 3) as int), 0) desc"
+_CLEAN = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda v: v is null or isnan(v) or isinf(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0"
+_DENSE = f""", ev as (select chunk_id, heading, text, embedding::double[] as x from clauses where {_CLEAN}),
+qv as (select n as query_id, x from (select x, row_number() over (order by chunk_id) as n from ev) where n in (select query_id from search_queries)),
+vb as (select heading, text, min(chunk_id) as chunk_id, arg_min(x, chunk_id) as x from ev where text is not null group by all),
+dn as (select * from (select query_id, b.chunk_id as donor, heading, text, s as score, row_number() over (partition by query_id order by s desc, b.chunk_id) as n from (select query_id, vb.*, round(list_cosine_similarity(vb.x, qv.x), 9) as s from vb, qv where {{body}}) b) where n <= {{fetch}}),
+dh as (select dn.query_id, c.chunk_id, c.spec_id, c.release, c.version, c.clause_path, dn.score from dn join clauses c on c.heading is not distinct from dn.heading and c.text = dn.text where {{where}}),
+do_ as (select *, row_number() over (partition by query_id, spec_id, clause_path order by score desc, {_V3.format("version")}, chunk_id) as n from dh)"""
+
+
+def _search_sql(where: str = "true", rank_of: int = 22) -> str:
+    """SQL of the search over the clauses that ``where`` (over c) keeps."""
+    body = "true" if where == "true" else f"exists (select 1 from clauses c where c.heading is not distinct from vb.heading and c.text = vb.text and {where})"
+    lexical = _CA.replace("on c.heading is not distinct from b.heading and c.text = b.text)", f"on c.heading is not distinct from b.heading and c.text = b.text where {where})")
+    return (
+        lexical
+        + _DENSE.format(where=where, body=body, fetch=8 * rank_of)
+        + f""", lx as (select query_id, spec_id, release, version, clause_path, chunk_id, 0 as l, row_number() over (partition by query_id order by score desc, spec_id, clause_path nulls first, chunk_id) as r from o where n = 1),
 sp as (select query_id, chunk_id, round(sum(q2.weight::double * p2.w), 9) as score from query_terms q2 join (select chunk_id, term_id, max(weight)::double as w from clause_sparse group by all) p2 using (term_id) group by all),
-sf as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r0 from sp) where r0 <= 88),
-sx as (select sf.query_id, c.spec_id, c.release, c.version, c.clause_path, c.chunk_id, 1 as l, row_number() over (partition by sf.query_id order by score desc, c.spec_id nulls first, c.release nulls first, c.version nulls first, c.clause_path nulls first, c.chunk_id) as r from sf join clauses c using (chunk_id)),
-al as (select * from lx where r <= 22 union all select * from sx where r <= 22),
+sx as (select sp.query_id, c.spec_id, c.release, c.version, c.clause_path, c.chunk_id, 1 as l, row_number() over (partition by sp.query_id order by score desc, c.spec_id nulls first, c.release nulls first, c.version nulls first, c.clause_path nulls first, c.chunk_id) as r from sp join clauses c using (chunk_id) where c.text is not null and {where}),
+dx as (select query_id, spec_id, release, version, clause_path, chunk_id, 2 as l, row_number() over (partition by query_id order by score desc, spec_id, clause_path nulls first, chunk_id) as r from do_ where n = 1),
+al as (select * from lx where r <= {rank_of} union all select * from sx where r <= {rank_of} union all select * from dx where r <= {rank_of}),
 fu as (select query_id, spec_id, release, version, clause_path, round(sum(1.0::double / (60 + r)), 9) as score, arg_min(chunk_id, l * 1000 + r) as chunk_id from al group by query_id, spec_id, release, version, clause_path),
 fr as (select *, row_number() over (partition by query_id order by score desc, spec_id nulls first, release nulls first, version nulls first, clause_path nulls first) as rank from fu),
-hi as (select f.*, c.text, s2.query_text, list_filter(regexp_split_to_array(lower(concat_ws(' ', c.heading, c.text)), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') as pw, list_filter(regexp_split_to_array(lower(s2.query_text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') as qw from fr f join clauses c using (chunk_id) join search_queries s2 on s2.query_id = f.query_id where f.rank <= 22),
+hi as (select f.*, c.text, s2.query_text, list_filter(regexp_split_to_array(lower(concat_ws(' ', c.heading, c.text)), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') as pw, list_filter(regexp_split_to_array(lower(s2.query_text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') as qw from fr f join clauses c using (chunk_id) join search_queries s2 on s2.query_id = f.query_id where f.rank <= {rank_of}),
 rr as (select *, case when rank <= 12 then round(len(list_filter(pw, lambda x: list_contains(qw, x))) / (1 + len(pw) / 200.0::double), 9) end as rs from hi),
 fi as (select *, row_number() over (partition by query_id order by case when rank <= 12 then 0 else 1 end, rs desc nulls last, rank) as place from rr)
 select query_id, place as rank, chunk_id, spec_id, release, version, clause_path, score,
 case when length(trim(coalesce(text, ''))) > 400 then substr(trim(coalesce(text, '')), 1, 400) || '…' else trim(coalesce(text, '')) end as snippet,
 '3gpp://' || replace(replace(coalesce(spec_id, ''), '%', '%25'), ' ', '%20') || '/' || replace(replace(coalesce(release, ''), '%', '%25'), ' ', '%20') || case when coalesce(clause_path, '') <> '' then '/' || replace(replace(clause_path, '%', '%25'), ' ', '%20') else '' end || case when coalesce(version, '') <> '' then '@' || replace(replace(version, '%', '%25'), ' ', '%20') else '' end as resource,
-case when regexp_matches(query_text, '(?i)\\b(replace[sd]?|migration|evolution|maps to)\\b') then 'graph' when regexp_matches(query_text, '(?i)\\b(defined|definition|expansion|stands for)\\b') and regexp_matches(query_text, '\\b[A-Z][A-Z0-9]{1,7}\\b') then 'glossary' when regexp_matches(query_text, '\\bT[SR]\\s?[0-9][0-9]\\.[0-9]{3}\\b') then 'spec_lookup' else 'hybrid' end as intent
+{_INTENT_SQL} as intent
 from fi where place <= 10"""
-)
+    )
+
 
+def _hybrid(spark: SparkSession, d: str, **filters: str) -> DataFrame:
+    return S.search_spec(stored_index(spark, d), table(spark, d, "search_queries"), table(spark, d, "query_terms"), query_vectors(spark, d), S.SearchRequest(**filters))
 
-@add("search_spec", _SEARCH)
+
+@add("search_spec", _search_sql())
 def search_spec(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: every search query, hybrid, reranked, with citations."""
-    return S.search_spec(_clauses(spark, d), table(spark, d, "clause_sparse"), table(spark, d, "search_queries"), table(spark, d, "query_terms"))
+    """The flagship: every search query, hybrid of three arms, reranked, with citations."""
+    return _hybrid(spark, d)
+
+
+@add("search_spec_in_release", _search_sql("c.release = 'Rel-16'"))
+def search_spec_in_release(spark: SparkSession, d: str) -> DataFrame:
+    """The same within one release: arms rank its clauses only."""
+    return _hybrid(spark, d, release="Rel-16")
+
+
+@add("win_02_dense_versions", _CA.split("docs as")[0].rstrip(", \n") + _DENSE.format(where="true", body="true", fetch=80) + " select query_id, chunk_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, spec_id, clause_path nulls first, chunk_id) as rank from do_ where n = 1) where rank <= 10")
+def win_02(spark: SparkSession, d: str) -> DataFrame:
+    """Dense hits, the newest version of each clause."""
+    hits = S.dense_arm(stored_index(spark, d), query_vectors(spark, d), 10, 64)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @add("eval_01_metrics")

@@ -20,7 +20,9 @@ from ..session import ship_code, spread
 K1, B = 1.2, 0.75
 #: Query vectors that go to every executor at once; more are worked off in passes.
 MAX_QUERY_VECTORS = 20_000
-#: Distinct query tokens (with their queries) that are broadcast; beyond that the joins shuffle.
+#: Products of a query and a row that a task holds at a time (64 MB).
+PRODUCT = 8_000_000
+#: Query tokens (a row per query and token) that are broadcast; beyond that the joins shuffle.
 MAX_QUERY_TOKENS = 500_000
 
 
@@ -43,7 +45,7 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     # every document also has one posting of the empty token, whose rows count the
     # documents and their lengths: texts are read and cut into tokens once
     wanted = q.select("token").unionByName(docs.sparkSession.createDataFrame([("",)], "token string")).distinct()
-    small = F.broadcast if wanted.count() <= MAX_QUERY_TOKENS else (lambda x: x)
+    small = F.broadcast if q.count() < MAX_QUERY_TOKENS else (lambda x: x)
     each = toks.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("token")).join(small(wanted), "token", "left_semi")
     # laid out by document once: term counts, scores and sums per document need no further shuffle
     spark = docs.sparkSession
@@ -69,20 +71,21 @@ def sparse_scores(postings: DataFrame, query_terms: DataFrame) -> DataFrame:
     return one.join(q, "term_id").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("score"))
 
 
-def exact_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, dim: int) -> DataFrame:
+def exact_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, dim: int, other: bool = True) -> DataFrame:
     """(query_id, neighbour, score, rank): exact cosine k-NN of a stated query set against all rows.
 
     Vectors must be clean (see ``functions.text.clean_vector``). Query vectors
     go out in blocks of at most ``MAX_QUERY_VECTORS``; each task multiplies its
-    rows with a block and passes on its k best per query, so what is shuffled
-    is k rows per query and task, whatever the table's size. A row isn't its
-    own neighbour.
+    rows with them, some ``PRODUCT`` products at a time, and passes on its k
+    best per query, so what is shuffled is k rows per query and task, whatever
+    the table's size. ``other``: queries are rows of the table, and a row isn't
+    its own neighbour.
     """
     spark = vectors.sparkSession
     ship_code(spark)
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("score", T.DoubleType())])
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+    asked = queries.select(F.col(id_col if other else "query_id").cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     blocks: list[DataFrame] = []
 
     def add(ids: list[int], xs: list[list[float]]) -> None:
@@ -90,23 +93,31 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_co
         sent = spark.sparkContext.broadcast((np.array(ids, np.int64), q / np.linalg.norm(q, axis=1, keepdims=True)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
             qid, qx = sent.value
-            best = np.empty((0, 3))
+            best, who = np.full((len(qid), k), -3.0), np.full((len(qid), k), np.iinfo(np.int64).max)
             for batch in batches:
-                if not batch.num_rows:
+                if not batch.num_rows or not len(qid):
                     continue
                 x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 own = batch.column(0).to_numpy()
-                s = np.round(qx @ x.T, 9)
-                s[qid[:, None] == own[None, :]] = -2.0
-                top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                kth = np.take_along_axis(s, top, 1).min(axis=1)  # all ties of the k-th stay
-                i, j = np.nonzero((s >= kth[:, None]) & (s > -2.0))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(own[j]), pa.array(s[i, j])], schema=to_arrow_schema(schema))
-            del best
+                step = max(1, PRODUCT // len(own))
+                for a in range(0, len(qid), step):
+                    s = np.round(qx[a : a + step] @ x.T, 9)
+                    if other:
+                        s[qid[a : a + step, None] == own[None, :]] = -3.0
+                    c = np.concatenate((best[a : a + step], s), 1)
+                    w = np.concatenate((who[a : a + step], np.broadcast_to(own, s.shape)), 1)
+                    if c.shape[1] > 4 * k:  # all that equal the k-th stay until ids decide
+                        kth = np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k]
+                        most = int((c >= kth[:, None]).sum(1).max())
+                        if most < c.shape[1]:
+                            top = np.argpartition(-c, most - 1, axis=1)[:, :most]
+                            c, w = np.take_along_axis(c, top, 1), np.take_along_axis(w, top, 1)
+                    order = np.lexsort((w, -c), axis=1)[:, :k]
+                    best[a : a + step], who[a : a + step] = np.take_along_axis(c, order, 1), np.take_along_axis(w, order, 1)
+            i, j = np.nonzero(best > -3.0)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(who[i, j]), pa.array(best[i, j])], names=schema.names)
 
         blocks.append(rows.mapInArrow(run, schema))
 

@@ -149,3 +149,43 @@ def read_workbooks(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
     schema = ", ".join(f"`{c}` string" for c in columns)
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,zip}").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+# --- folders --------------------------------------------------------------------------------
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path of any scheme."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; what can't be asked (permission, network) raises."""
+    fs, target = file_system(spark, path)
+    return fs.exists(target)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder that were written to the end; none if it isn't there."""
+    fs, target = file_system(spark, path)
+    if not fs.exists(target):
+        return []
+    return [n for n in folder_names(spark, path) if exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    fs, target = file_system(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(target) if x.isDirectory()]
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; a file system that only says no is made to raise."""
+    fs, a = file_system(spark, source)
+    if not fs.rename(a, file_system(spark, target)[1]):
+        raise OSError(f"could not rename {source} to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)

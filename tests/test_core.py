@@ -1,5 +1,6 @@
 import datetime as dt
 import io
+import os
 import zipfile
 
 import pytest
@@ -275,7 +276,7 @@ def test_plans(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    from clausewright.streaming.ingest import hourly_counters, keep_new
+    from clausewright.streaming.ingest import hourly_counters, keep_new, kept
 
     src = str(tmp_path / "in")
     t0 = dt.datetime(2024, 1, 1)
@@ -288,7 +289,79 @@ def test_streams(spark, tmp_path):
     batch = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     add(batch, 0)
     add(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    add(spark.createDataFrame([(2, "x"), (3, "c"), (3, "d"), (None, "e")], batch.schema), 1)
+    assert sorted((r.k or 0) for r in kept(spark, str(tmp_path / "out")).collect()) == [0, 1, 2, 3]
+    # a batch that stopped half-way counts for nothing, and is written again
+    os.remove(tmp_path / "out" / "batch=1" / "_SUCCESS")
+    assert kept(spark, str(tmp_path / "out")).count() == 2
+    add(spark.createDataFrame([(2, "x"), (3, "c"), (3, "d"), (None, "e")], batch.schema), 1)
+    assert kept(spark, str(tmp_path / "out")).count() == 4
+    with pytest.raises(FileNotFoundError):
+        kept(spark, str(tmp_path / "none"))
+
+
+def test_a_swap_that_stops_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "k int")
+    held = lambda: sorted(r.k for r in R.read_table(spark, path).collect())
+    assert R.read_table(spark, path) is None
+    assert R.write_if_changed(rows(1, 2, 3), path) and not R.write_if_changed(rows(3, 2, 1), path)
+    # stopped while the new copy was being written
+    rows(9).write.parquet(path + ".next")
+    os.remove(path + ".next/_SUCCESS")
+    assert held() == [1, 2, 3]
+    # stopped between the two renames, before or after the new copy was whole
+    os.rename(path, path + ".old")
+    assert held() == [1, 2, 3]
+    rows(1, 2, 3, 4).write.mode("overwrite").parquet(path + ".next")
+    os.rename(path, path + ".old")
+    assert held() == [1, 2, 3, 4] and not os.path.exists(path + ".old")
+    # stopped before the old copy was deleted
+    rows(7).write.parquet(path + ".old")
+    assert R.write_if_changed(rows(5), path) and held() == [5]
+
+
+def test_index_grows_by_content(spark, tmp_path):
+    from clausewright.retrieval import index as I
+    from clausewright.retrieval import search as S
+
+    path = str(tmp_path / "index")
+    rows = [(i, f"{20 + i % 2}.501", f"Rel-{17 + i % 3}", f"{17 + i % 3}.0.0", f"5.{i // 3}", "Head", f"the access node {'alpha' if i % 4 else 'beta'}\n\npart {i}") for i in range(12)]
+    df = clauses(spark, rows)
+    terms = spark.createDataFrame([(i, i % 3, 1.0 + i) for i in range(12)], "chunk_id long, term_id long, weight float")
+    assert I.extend_index(df.where("chunk_id < 7"), terms.where("chunk_id < 7"), path, 2)
+    assert I.extend_index(df, terms, path, 2) and not I.extend_index(df, terms, path, 2) and I.generations(spark, path) == [1, 2]
+    whole = str(tmp_path / "whole")
+    I.extend_index(df, terms, whole, 2)
+    q = spark.createDataFrame([(1, "beta node")], "query_id long, query_text string")
+    t = spark.createDataFrame([(1, 1, 2.0)], "query_id long, term_id long, weight float")
+    hits = lambda p, **f: [(r.rank, r.chunk_id, r.score) for r in S.search_spec(I.open_index(spark, p), q, t, None, S.SearchRequest(**f)).orderBy("rank").collect()]
+    assert hits(path) == hits(whole) and len(hits(path)) > 3
+    assert all(rows[c][2] == "Rel-18" for _, c, _ in hits(path, release="Rel-18")) and len(hits(path, release="Rel-18")) > 1
+    # a generation without its mark doesn't count
+    import shutil
+
+    shutil.rmtree(path + "/marks/gen=2")
+    assert I.open_index(spark, path).occurrences.count() == 7
+    plan = I.paragraph_scores(I.open_index(spark, whole), q)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_arms_that_cannot_serve_are_reported():
+    from clausewright.retrieval import search as S
+
+    r = S.SearchRequest()
+    assert r.arms({"lexical": None, "sparse": "no query terms", "dense": None}) == ["lexical", "dense"]
+    assert r.report == {"mode_asked": "hybrid", "mode_served": "hybrid", "arms": ["lexical", "dense"], "degraded": {"sparse": "no query terms"}}
+    r = S.SearchRequest(mode="dense")
+    assert r.arms({"dense": "no query vectors"}) == ["lexical"] and r.report["mode_served"] == "lexical"
+    with pytest.raises(ValueError):
+        S.SearchRequest(mode="magic").arms({})
+    c = S.write_cursor(20, "q", "")
+    assert S.read_cursor(c, "q", "") == 20 and S.fnv1a(b"a", 32) == 0xE40C292C and S.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    for bad in (c[:-3], "###", S.write_cursor(20, "other", "")):
+        with pytest.raises(ValueError):
+            S.read_cursor(bad, "q", "")
 
 
 def test_tools(spark, tmp_path):
@@ -306,9 +379,13 @@ def test_tools(spark, tmp_path):
     ):
         spark.createDataFrame(data, schema).write.parquet(f"{d}/{name}.parquet")
     c = Corpus(spark, d)
-    hits = c.search_spec("access node", k=2, mode="hybrid").collect()
-    assert len(hits) == 3 and hits[0].resource.startswith("3gpp://23.501/Rel-18/5.")
-    assert c.search_spec("access node", k=2, offset=2).count() == 2
+    page = c.search_spec("access node", k=2)
+    hits = page.rows.collect()
+    assert len(hits) == 2 and hits[0].resource.startswith("3gpp://23.501/Rel-18/5.") and page.report["degraded"] == {"dense": "no query vectors"}
+    last = c.search_spec("access node", k=2, cursor=page.next_cursor)
+    assert [r["rank"] for r in last.rows.collect()] == [3, 4] and last.next_cursor == ""
+    with pytest.raises(ValueError):
+        c.search_spec("access", cursor=page.next_cursor)
     assert c.get_spec("23.501").count() == 4 and c.get_spec("23.501", version="18.0.0", clause="5.1").count() == 1
     assert c.list_specs().first().latest == "18.1.0" and c.list_specs(doc_type="TR").count() == 0
     assert [r.version for r in c.list_releases("23.501").collect()] == ["18.1.0", "18.0.0"]
