@@ -70,14 +70,7 @@ def asn1_events(df: DataFrame, key: str, text: str) -> DataFrame:
     def one(t: str | None) -> list[dict[str, Any]]:
         return P.asn1_events(P.parse_asn1(t))
 
-    return parse_rows(df, key, text, "interface string, event string, type string, tag int, clause string, fields int", one)
-
-
-def interception_events(df: DataFrame, key: str, text: str) -> DataFrame:
-    def one(t: str | None) -> list[dict[str, Any]]:
-        return [{"nf": n, "interface": i, "record": r} for n, i, r in P.mine_events(t)]
-
-    return parse_rows(df, key, text, "nf string, interface string, record string", one)
+    return parse_rows(df, key, text, "interface string, nf string, domain string, event string, type string, tag int, clause string, fields int", one)
 
 
 def openapi_operations(df: DataFrame, key: str, text: str) -> DataFrame:

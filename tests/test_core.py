@@ -211,11 +211,15 @@ def test_line_parsers():
     assert P.parse_abbreviations(text) == [("AMF", "Access and Mobility Management Function"), ("UPF", "User Plane Function")]
     assert P.initials_match("UPF", "User Plane Function") and not P.initials_match("UPX", "User Plane Function")
     assert P.parse_change_line("CR002r1 (cat B) two") == ("CR002", 1, "B", "two") and P.parse_change_line("CR001 (cat F) one") == ("CR001", None, "F", "one")
-    module = "XIRIEvent ::= CHOICE\n{\n  -- see clause 6.2.2.2\n  registration [1] AMFRegistration,\n}\nAMFRegistration ::= SEQUENCE\n{\n  a [1] INTEGER,\n  b [2] UTF8String OPTIONAL\n}\nMode ::= ENUMERATED\n{\n  on(1),\n  off(2)\n}"
+    module = "XIRIEvent ::= CHOICE\n{\n  -- AMF events, see clause 6.2.2.2\n  registration [1] AMFRegistration,\n}\nAMFRegistration ::= SEQUENCE\n{\n  a [1] INTEGER,\n  b [2] UTF8String OPTIONAL\n}\nMode ::= ENUMERATED\n{\n  on(1),\n  off(2)\n}"
     types = P.parse_asn1(module)
     assert [(t["name"], t["kind"], len(t["members"])) for t in types] == [("XIRIEvent", "choice", 1), ("AMFRegistration", "sequence", 2), ("Mode", "enumerated", 2)]
-    assert P.asn1_events(types) == [{"interface": "X2", "event": "registration", "type": "AMFRegistration", "tag": 1, "clause": "6.2.2.2", "fields": 2}]
-    assert P.mine_events("The IRI-POI in the AMF shall generate an xIRI containing an AMFRegistration record.") == [("AMF", "LI_X2", "AMFRegistration")]
+    assert P.asn1_events(types) == [{"interface": "X2", "nf": "AMF", "domain": "5GC", "event": "registration", "type": "AMFRegistration", "tag": 1, "clause": "6.2.2.2", "fields": 2}]
+    assert P.parse_abbreviations("UA\tUser Agent\n*****\nEND SET OF CHANGES *****\n***** BEGIN SET OF CHANGES *****\nlost tail") == [("UA", "User Agent")]
+    assert P.parse_abbreviations("Intro line here\n5GC 5G Core Network\n5G AV 5G Authentication Vector\nNG-RAN 5G Radio Access Network") == [("5GC", "5G Core Network"), ("5G AV", "5G Authentication Vector")]
+    assert P.parse_abbreviations(None) == P.parse_abbreviations("Row of cells\tthe table\nx\ty") == []
+    assert P.initials_match("4G", "Generation four") and P.initials_match("3GPP", "Third Generation Partnership Project") and not P.initials_match("", "x") and not P.initials_match("123", "one")
+    assert P.plausible("NWDAF", "Network Data Analytics Function") and not P.plausible("a.b", "a b c") and not P.plausible("amf", "access")
 
 
 def test_openapi():
