@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import versioning as V
+from ..session import cut_lineage
 
 
 def weighted_contains(words: Sequence[str], columns: Sequence[tuple[str, int]]) -> Column:
@@ -61,3 +62,29 @@ def attest(counters: DataFrame, stamped: DataFrame) -> DataFrame:
     names = counters.columns
     now = counters.select([F.col(c).cast("long") for c in names]).unpivot([], names, "name", "now")
     return now.join(stamped.select("name", F.col("value").alias("stamped")), "name", "left").withColumn("holds", F.col("now").eqNullSafe(F.col("stamped")))
+
+
+def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows with their ``place`` from 0 in a total order: ranges are numbered apart and
+    shifted by the rows of the ranges before, so no task holds all rows."""
+    ranged = df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    sizes = ranged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row a range
+    own = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
+    return own.join(F.broadcast(before), "__b").withColumn("place", F.col("__off") + F.col("__r") - 1).drop("__b", "__r", "__off")
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], separator: str = "\x1f") -> DataFrame:
+    """Lists that come as one text, split; an empty or null text is an empty list."""
+    empty = F.array().cast("array<string>")
+    return df.withColumns({c: F.when(F.coalesce(F.col(c), F.lit("")) == "", empty).otherwise(F.split(F.col(c), separator, -1)) for c in columns})
+
+
+def version_in_release(asked: DataFrame, versions: DataFrame) -> DataFrame:
+    """Asked (spec_id, version, release) with ``state``: there, elsewhere (under another release only) or unknown."""
+    v = versions.select("spec_id", "version", "release").distinct()
+    here = v.withColumn("__here", F.lit(True))
+    any_ = v.select("spec_id", "version").distinct().withColumn("__any", F.lit(True))
+    j = asked.join(here, ["spec_id", "version", "release"], "left").join(any_, ["spec_id", "version"], "left")
+    return j.withColumn("state", F.when(F.col("__here"), "there").when(F.col("__any"), "elsewhere").otherwise("unknown")).drop("__here", "__any")

@@ -134,10 +134,11 @@ def inc_18(spark: SparkSession, d: str) -> DataFrame:
     return M.classify_claims(table(spark, d, "spec_versions", "spec_id", "version"), table(spark, d, "clauses", "spec_id", "version", "text"))
 
 
-@add("inc_20_dated_changes", f"with v as (select spec_id, version, row_number() over w as n, lag(version) over w as previous from (select distinct spec_id, version from clauses) window w as (partition by spec_id order by {V_SQL.format('version', '')}, version)), f as (select c.spec_id, c.clause_path as item, min(v.n) as n from clauses c join v on v.spec_id = c.spec_id and v.version = c.version where c.clause_path <> '' group by all) select f.spec_id, f.item, v.previous as from_version, v.version as to_version from f join v on v.spec_id = f.spec_id and v.n = f.n where v.previous is not null")
+@add("inc_20_dated_changes", f"with v as (select spec_id, version, {_VK} as k, row_number() over w as n, lag(version) over w as previous, lag({_VK}) over w as pk from (select distinct spec_id, version from clauses) window w as (partition by spec_id order by {V_SQL.format('version', '')}, version)), u as (select distinct spec_id, {_VK} as k from spec_versions where (spec_id, version) not in (select spec_id, version from clauses)), f as (select c.spec_id, c.clause_path as item, min(v.n) as n from clauses c join v on v.spec_id = c.spec_id and v.version = c.version where c.clause_path <> '' group by all), d as (select f.spec_id, f.item, v.previous, v.version, case when v.previous is null then 'first version' when exists (select 1 from u where u.spec_id = v.spec_id and u.k > v.pk and u.k < v.k) then 'publication missing' end as declined from f join v on v.spec_id = f.spec_id and v.n = f.n) select spec_id, item, case when declined is null then previous end as from_version, case when declined is null then version end as to_version, declined from d")
 def inc_20(spark: SparkSession, d: str) -> DataFrame:
+    """Clauses dated to the version that has them first; a publication that isn't held leaves them undated."""
     rows = _rows(spark, d)
-    return M.date_changes(rows.where("clause_path <> ''").select("spec_id", "version", F.col("clause_path").alias("item")), rows)
+    return M.date_changes(rows.where("clause_path <> ''").select("spec_id", "version", F.col("clause_path").alias("item")), rows.select("spec_id", "version"), table(spark, d, "spec_versions", "spec_id", "version"))
 
 
 @add("inc_21_repair", "select chunk_id from (select chunk_id, row_number() over (partition by spec_id, version, clause_path, heading, text order by chunk_id) as n from clauses) where n > 1")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import versioning as V
 from ..operators import content as C
+from ..operators import maintenance as M
 from ..operators import relations as R
 from ..operators import services as S
+from ..operators import validation as Y
 from ..operators.evaluation import gate
 from ..retrieval import arms as A
 from ..sources.tables import table
+from . import planted
 from .catalogue import ORD_SQL, V_SQL
+from .evolution import _VK as VK_SQL
 from .registry import Registry
 
 registry = Registry()
@@ -83,13 +89,12 @@ def join_15(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(top), "chunk_id").select("chunk_id", F.md5("text").alias("text_md5"))
 
 
-_EDGES = [("MME", "AMF", "split"), ("MME", "SMF", "split"), ("HSS", "UDM", "replaced"), ("PCRF", "PCF", "replaced"), ("eNB", "gNB", "successor")]
-_EDGES_SQL = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _EDGES)
-
-
-@add("join_17_neighbours", f"select * from (values {_EDGES_SQL}) e(from_term, to_term, evolution_type) where upper(from_term) = 'MME' or upper(to_term) = 'MME'")
+@add("join_17_neighbours", f"with {planted.EDGES_SQL} select from_term, to_term, evolution_type from e where upper(from_term) = 'AMF' or upper(to_term) = 'AMF' or upper(from_term) = 'MME' or upper(to_term) = 'MME'")
 def join_17(spark: SparkSession, d: str) -> DataFrame:
-    return S.neighbours(spark.createDataFrame(_EDGES, "from_term string, to_term string, evolution_type string"), "mme")
+    """One hop around two terms, whatever their case (a curated relation: the tables hold none)."""
+    e = planted.edges(spark)
+    both = S.neighbours(e, "mme").unionByName(S.neighbours(e, "Amf")).distinct()
+    return both.select("from_term", "to_term", "evolution_type")
 
 
 @add("agg_05_best_paragraph", "select chunk_id, max(length(part))::bigint as longest from (select chunk_id, unnest(string_split(text, chr(10) || chr(10))) as part from clauses where text is not null) group by chunk_id")
@@ -197,20 +202,22 @@ def inc_04(spark: SparkSession, d: str) -> DataFrame:
     return S.attest(now, stamped)
 
 
-@add("inc_15_drift", f"with s as (select distinct spec_id, release from spec_versions), h as (select spec_id, release from clauses group by all), o as (select * from s where (spec_id, release) not in (select spec_id, release from h where release is not null)) select spec_id, count(*) as missing, max({ORD_SQL.format('release')})::int as newest from o group by spec_id")
+@add("inc_15_drift", f"with s as (select spec_id, release, arg_max(version, {VK_SQL}) as version, max({VK_SQL}) as v from spec_versions group by all), h as (select spec_id, release, max({VK_SQL}) as h from clauses where chunk_id % 3 <> 0 and spec_id not like '%1' group by all) select s.spec_id, s.release, case when h is null then 'missing' else 'stale' end as state, s.version from s left join h on h.spec_id = s.spec_id and h.release = s.release where h is null or v > h")
 def inc_15(spark: SparkSession, d: str) -> DataFrame:
-    site = table(spark, d, "spec_versions", "spec_id", "release").distinct()
-    lost = site.join(table(spark, d, "clauses", "spec_id", "release"), ["spec_id", "release"], "left_anti")
-    return lost.groupBy("spec_id").agg(F.count(F.lit(1)).alias("missing"), F.max(V.release_ordinal("release")).alias("newest"))
+    """Filings that a corpus without some of its specs and rows is missing, or holds an older version of."""
+    held = table(spark, d, "clauses", "chunk_id", "spec_id", "release", "version").where("chunk_id % 3 <> 0 and spec_id not like '%1'")
+    return M.drift(table(spark, d, "spec_versions", "spec_id", "release", "version"), held)
 
 
-@add("snk_07_set_equal", f"select count(*) as n, true as skipped from (values {_EDGES_SQL}) e(a, b, c)")
+@add("snk_07_set_equal", "select * from (values ('reordered', true), ('one fewer', false), ('one more', false), ('one changed', false)) v(case_, skipped)")
 def snk_07(spark: SparkSession, d: str) -> DataFrame:
-    """A replacement by an equal set in another order is skipped."""
-    a = spark.createDataFrame(_EDGES, "from_term string, to_term string, evolution_type string")
-    b = spark.createDataFrame(_EDGES[::-1], a.schema)
-    differ = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("d"))
-    return a.agg(F.count(F.lit(1)).alias("n")).crossJoin(differ).select("n", (F.col("d") == 0).alias("skipped"))  # one row each
+    """A replacement of the curated edges is skipped for an equal set only."""
+    held = planted.edges(spark)
+    more = spark.createDataFrame([("x", "y", "z", "1", "1")], held.schema)
+    cases = {"reordered": planted.EDGES[::-1], "one fewer": planted.EDGES[1:], "one changed": [("MME", "AMF", "merged", "33.501", "3.2"), *planted.EDGES[1:]]}
+    frames = {k: spark.createDataFrame(v, held.schema) for k, v in cases.items()} | {"one more": held.unionByName(more)}
+    same = lambda a, b: a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count(F.lit(1)) == 0).alias("skipped"))
+    return reduce(DataFrame.unionByName, [same(held, x).select(F.lit(k).alias("case_"), "skipped") for k, x in frames.items()])
 
 
 @add("snk_13_posting_writer", "select chunk_id, term_id, weight::double as weight from clause_sparse where chunk_id % 10 <> 0 union all select chunk_id, term_id, max(weight)::double / 2 from clause_sparse where chunk_id % 10 = 0 group by chunk_id, term_id")
@@ -225,9 +232,16 @@ def snk_19(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ingest_log", "status", "pipeline_version").groupBy(F.col("status").alias("key")).agg(F.coalesce(F.max("pipeline_version"), F.lit("")).alias("value"))
 
 
-@add("val_08_index_freeze", "select count(*) filter (where embedding is not null) as vectors, count(distinct embedding_hash) as hashes, count(*) filter (where embedding is not null and len(embedding) = 64) as usable from clauses")
+@add("val_08_index_state", "select * from (values ('current', 'current', ''), ('more vectors', 'drifted', 'vectors'), ('other model', 'unusable', 'model'), ('other size', 'unusable', 'dim,vectors'), ('no stamp', 'unusable', 'model,metric,dim,vectors')) v(case_, verdict, why)")
 def val_08(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clauses", "embedding", "embedding_hash").agg(F.count("embedding").alias("vectors"), F.countDistinct("embedding_hash").alias("hashes"), F.count_if(F.col("embedding").isNotNull() & (F.size("embedding") == 64)).alias("usable"))
+    """The index of the embedded clauses against stamps that hold, and that don't."""
+    c = table(spark, d, "clauses", "embedding").where(X.clean_vector(F.col("embedding"), 64))
+    now = c.agg(F.lit("model-a").alias("model"), F.lit("cosine").alias("metric"), F.max(F.size("embedding")).alias("dim"), F.count(F.lit(1)).alias("vectors"))
+    stamps = {
+        "current": now, "more vectors": now.withColumn("vectors", F.col("vectors") - 1), "other model": now.withColumn("model", F.lit("model-b")),
+        "other size": now.withColumn("dim", F.lit(1024)).withColumn("vectors", F.lit(0).cast("long")), "no stamp": now.where("false"),
+    }
+    return reduce(DataFrame.unionByName, [Y.index_state(now, s).select(F.lit(k).alias("case_"), "verdict", "why") for k, s in stamps.items()])
 
 
 @add("eval_04_gate", "with m as (select arm as system, round(avg(score), 6) as value from hit_out where score is not null group by arm) select system, 'mean' as metric, value as current, value + case when system = 'dense' then 0.5::double else 0.0::double end as baseline, system <> 'dense' as passed from m")
@@ -245,15 +259,78 @@ def lin_11(spark: SparkSession, d: str) -> DataFrame:
     return later.join(rows.where("release = 'Rel-15'"), ["spec_id", "clause_path"], "left_anti")
 
 
-@add("val_09_justified_edges", f"with e as (select * from (values {_EDGES_SQL}) v(from_term, to_term, evolution_type)), c as (select e.to_term, count(*) as n from e join (select distinct unnest(regexp_extract_all(coalesce(heading, '') || ' ' || coalesce(text, ''), '[A-Za-z0-9]+')) as word, chunk_id from clauses) w on w.word = e.to_term group by e.to_term) select e.from_term, e.to_term, coalesce(max(c.n), 0) > 0 as named from e left join c using (to_term) group by e.from_term, e.to_term")
+@add("val_09_justified_edges", f"with {planted.SQL}, {planted.EDGES_SQL}, n as (select spec_id, max({VK_SQL}) as v from c group by 1), l as (select c.spec_id, c.clause_path, arg_max(coalesce(heading, '') || ' ' || coalesce(text, ''), chunk_id) as t from c join n using (spec_id) where {VK_SQL} = n.v group by all) select e.from_term, e.to_term, case when t is null then 'missing' when list_contains(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{Nd}}]+'), lower(e.to_term)) then 'ok' else 'unnamed' end as state from e left join l on l.spec_id = e.spec_id and l.clause_path = e.clause")
 def val_09(spark: SparkSession, d: str) -> DataFrame:
-    """Whether any clause names the target of each edge as a word."""
-    e = spark.createDataFrame(_EDGES, "from_term string, to_term string, evolution_type string")
-    words = table(spark, d, "clauses", "heading", "text").select(F.explode(F.regexp_extract_all(F.concat_ws(" ", "heading", "text"), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("to_term"))
-    named = words.join(F.broadcast(e.select("to_term").distinct()), "to_term", "left_semi").distinct().withColumn("named", F.lit(True))
-    return e.join(named, "to_term", "left").select("from_term", "to_term", F.coalesce("named", F.lit(False)).alias("named"))
+    """Curated edges against the clauses they cite, among them planted ones."""
+    return Y.justified_edges(planted.edges(spark), planted.clauses(spark, d))
 
 
-@add("inc_19_published_history", "select spec_id, version from spec_versions where status = 'published' group by spec_id, version")
+@add("inc_19_site_diff", "with s as (select distinct spec_id, version from spec_versions where status = 'published'), h as (select distinct spec_id, version from clauses), j as (select coalesce(s.spec_id, h.spec_id) as spec_id, coalesce(s.version, h.version) as version, case when h.spec_id is null then 'new' when s.spec_id is null then 'gone' end as state from s full join h on h.spec_id = s.spec_id and h.version = s.version) select * from j where state is not null and spec_id in (select spec_id from s)")
 def inc_19(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "spec_versions", "spec_id", "version", "status").where("status = 'published'").select("spec_id", "version").distinct()
+    """Published versions against those that have clauses."""
+    site = table(spark, d, "spec_versions", "spec_id", "version", "status").where("status = 'published'")
+    return M.site_diff(site, table(spark, d, "clauses", "spec_id", "version"))
+
+
+@add("inc_16_filing_release", f"with f as (select distinct spec_id, release, version, coalesce(try_cast(split_part(version, '.', 1) as int), 0) as major from spec_versions), o as (select *, case when major = 3 then 'Rel-99' when major >= 4 then 'Rel-' || major end as own from f) select spec_id, release, version, case when own <> release and {ORD_SQL.format('own')} >= 8 and exists (select 1 from spec_versions v where v.spec_id = o.spec_id and v.release = o.own) then own else release end as filed from o")
+def inc_16(spark: SparkSession, d: str) -> DataFrame:
+    filings = table(spark, d, "spec_versions", "spec_id", "release", "version").distinct()
+    return M.filing_release(filings, filings, 8)
+
+
+@add("inc_10_overlay", "with b as (select chunk_id, case when chunk_id % 2 = 0 then embedding_hash end as embedding_hash from clauses), o as (select chunk_id, embedding_hash from clauses where chunk_id % 3 = 0) select b.chunk_id, coalesce(b.embedding_hash, o.embedding_hash) as embedding_hash from b left join o using (chunk_id)")
+def inc_10(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors made elsewhere fill what a corpus lacks (their hashes stand for them)."""
+    rows = table(spark, d, "clauses", "chunk_id", "embedding_hash")
+    base = rows.withColumn("embedding_hash", F.when(F.col("chunk_id") % 2 == 0, F.col("embedding_hash")))
+    return M.overlay_vectors(base, rows.where("chunk_id % 3 = 0"), ["chunk_id"], "embedding_hash", "model-a", "model-a")
+
+
+_FOOT = "b as (select 'li' as subject, series, count(*) as f from specs group by series), n as (select 'li' as subject, series, count(*) + case when series in ('22', '33') then 1 else 0 end as f from specs where series <> '38' group by series)"
+
+
+@add("inc_22_series_to_rebuild", f"with {_FOOT} select coalesce(b.series, n.series) as series from b full join n using (subject, series) where b.f is distinct from n.f")
+def inc_22(spark: SparkSession, d: str) -> DataFrame:
+    """Series whose footprint (here: a count of specs) changed."""
+    before = table(spark, d, "specs", "series").groupBy("series").agg(F.count(F.lit(1)).alias("footprint")).withColumn("subject", F.lit("li"))
+    now = before.where("series <> '38'").withColumn("footprint", F.col("footprint") + F.when(F.col("series").isin("22", "33"), 1).otherwise(0))
+    return M.series_to_rebuild(before, now)
+
+
+@add("val_07_contract_of_halves", """with r as (select distinct release from clauses where release is not null), w as (select code as release from releases where code <> 'Rel-4'), d1 as (select count(*) as n from ((select * from r except select * from w) union all (select * from w except select * from r))),
+d2 as (select count(*) as n from (select spec_id, version from (select spec_id, version, count(*) as c from clauses group by spec_id, version, clause_path, heading, text) group by 1, 2 having min(c) > 1)),
+d3 as (select count(*) as n from (select heading, text from clauses where text is not null group by 1, 2 having count(distinct embedding_hash) > 1)),
+d4 as (select count(*) as n from (select distinct chunk_id from clause_sparse) where chunk_id not in (select chunk_id from clauses)),
+d5 as (select count(*) filter (where not weight > 0) as n from clause_sparse),
+d6 as (select count(*) as n from (select half from (select case when upper(trim(spec_id)) like 'ETSI%' then 'etsi' else '3gpp' end as half, heading, text, max(case when embedding is not null then 1 else 0 end) as e from clauses where length(trim(text)) > 0 group by all) group by half having count(*) <> sum(e))),
+d8 as (select count(*) filter (where regexp_matches(text, 'BEGIN [A-Z ]*PRIVATE KEY')) as n from clauses),
+a as (select 'expected-releases' as name, n from d1 union all select 'no-reingest', n from d2 union all select 'one-hash-a-body', n from d3 union all select 'postings-known', n from d4 union all select 'postings-positive', n from d5 union all select 'halves-embedded', n from d6 union all select 'nothing-forbidden', n from d8)
+select name, n = 0 as passed, n::varchar as detail from a union all select 'one-model', false, '2'""")
+def val_07(spark: SparkSession, d: str) -> DataFrame:
+    """The further checks, with a release left out and two models: those two must fail."""
+    codes = [r[0] for r in table(spark, d, "releases", "code").where("code <> 'Rel-4'").collect()]  # 19 rows, which don't grow
+    return Y.contract_of_halves(table(spark, d, "clauses"), table(spark, d, "clause_sparse"), codes, {"3gpp": "model-a", "etsi": "model-b"}, forbidden="BEGIN [A-Z ]*PRIVATE KEY")
+
+
+@add("sort_15_length_batches", "with l as (select chunk_id, length(text)::bigint as n from clauses where length(trim(text)) > 0), o as (select *, row_number() over (order by n, chunk_id) - 1 as p from l) select p // 64 as batch, count(*) as rows, min(n) as shortest, max(n) as longest from o group by 1")
+def sort_15(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in batches of 64 of nearly equal length: ordered over ranges, numbered without gathering."""
+    rows = table(spark, d, "clauses", "chunk_id", "text").where(X.has_text("text")).select("chunk_id", F.length("text").cast("long").alias("n"))
+    return S.numbered(rows, ["n", "chunk_id"]).groupBy(F.floor(F.col("place") / 64).alias("batch")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
+
+
+@add("snk_03_api_rows", "with p as (select n_name as schema_name, array_to_string(list(r_name order by r_name), chr(31)) as listed from nation join region on r_regionkey = n_regionkey group by n_name) select schema_name, len(string_split(listed, chr(31)))::int as n, string_split(listed, chr(31))[1] as first from p")
+def snk_03(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose lists come as one text; of a repeated key the last holds."""
+    regions = table(spark, d, "region", "r_regionkey", "r_name")
+    packed = table(spark, d, "nation", "n_name", "n_regionkey").join(regions, F.col("r_regionkey") == F.col("n_regionkey")).groupBy(F.col("n_name").alias("schema_name")).agg(F.array_join(F.array_sort(F.collect_list("r_name")), "\x1f").alias("listed"))
+    old = packed.withColumn("listed", F.lit("old"))
+    rows = S.unpacked(R.upsert(old, packed, ["schema_name"]), ["listed"])
+    return rows.select("schema_name", F.size("listed").alias("n"), F.element_at("listed", 1).alias("first"))
+
+
+@add("lin_09_version_in_release", "with v as (select distinct spec_id, release, version from spec_versions), w as (select spec_id, version, 'Rel-16' as asked from (select distinct spec_id, version from spec_versions)) select w.spec_id, w.version, case when exists (select 1 from v where v.spec_id = w.spec_id and v.version = w.version and v.release = w.asked) then 'there' when exists (select 1 from v where v.spec_id = w.spec_id and v.version = w.version) then 'elsewhere' else 'unknown' end as state from w")
+def lin_09(spark: SparkSession, d: str) -> DataFrame:
+    versions = table(spark, d, "spec_versions", "spec_id", "release", "version")
+    asked = versions.select("spec_id", "version").distinct().withColumn("release", F.lit("Rel-16"))
+    return S.version_in_release(asked, versions).select("spec_id", "version", "state")

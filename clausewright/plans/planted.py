@@ -49,3 +49,22 @@ def clauses(spark: SparkSession, d: str) -> DataFrame:
     names = NAMES.split(", ")
     more = spark.createDataFrame(CLAUSES, "chunk_id long, spec_id string, release string, version string, clause_path string, heading string, text string")
     return table(spark, d, "clauses", *names).unionByName(more)
+
+
+def reingested(spark: SparkSession, d: str) -> DataFrame:
+    """The clauses with the first planted document once more."""
+    rows = clauses(spark, d)
+    return rows.unionByName(rows.where("spec_id = '33.128' and release = 'Rel-16' and chunk_id < 0"))
+
+
+REINGESTED_SQL = SQL.replace("c as (", "c0 as (", 1) + ", c as (select * from c0 union all select * from c0 where spec_id = '33.128' and release = 'Rel-16' and chunk_id < 0)"
+#: from_term, to_term, evolution_type, spec_id, clause
+EDGES = [
+    ("MME", "AMF", "split", "33.501", "3.2"), ("MME", "SMF", "split", "33.501", "4"), ("HSS", "UDM", "replaced", "33.501", "3.2"), ("PCRF", "PCF", "replaced", "33.501", "9.9"),
+    ("S-GW", "UPF", "split", "33.128", "6.2.3.2"), ("eNB", "gNB", "successor", "1.1", "1"),
+]
+EDGES_SQL = f"e as (select * from {values(EDGES, 'from_term, to_term, evolution_type, spec_id, clause')} x)"
+
+
+def edges(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(EDGES, "from_term string, to_term string, evolution_type string, spec_id string, clause string")

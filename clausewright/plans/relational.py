@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import content as C
 from ..operators import relations as R
 from ..sources.tables import table
 from .catalogue import ORD_SQL, V_SQL
+from . import planted
 from .registry import Registry
 
 registry = Registry()
@@ -78,17 +81,21 @@ def agg_08(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "clauses", "release", "spec_id", "version").groupBy("release").agg(F.countDistinct("spec_id").alias("specs"), F.countDistinct("version").alias("versions"))
 
 
-@add("agg_09_reingested", "select spec_id, version, min(n) as copies, sum(n)::bigint as total from (select spec_id, version, clause_path, heading, text, count(*) as n from clauses group by all) group by spec_id, version having min(n) > 1")
+@add("agg_09_reingested", f"with {planted.REINGESTED_SQL} select spec_id, version, min(n) as copies, sum(n)::bigint as total from (select spec_id, version, clause_path, heading, text, count(*) as n from c group by all) group by spec_id, version having min(n) > 1")
 def agg_09(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "clauses", "spec_id", "version", "clause_path", "heading", "text").withColumn("t", F.md5("text"))
+    """Documents of which every row is there more than once; one is planted, the tables have none."""
+    rows = planted.reingested(spark, d).withColumn("t", F.md5("text"))
     per_row = rows.groupBy("spec_id", "version", "clause_path", "heading", "t").agg(F.count(F.lit(1)).alias("n"))
     return per_row.groupBy("spec_id", "version").agg(F.min("n").alias("copies"), F.sum("n").alias("total")).where("copies > 1")
 
 
-@add("agg_11_conflicting_hashes", "select heading, md5(text) as text_md5, count(distinct embedding_hash) as hashes from clauses where text is not null group by heading, text having count(distinct embedding_hash) > 1")
+@add("agg_11_conflicting_hashes", "with c as (select heading, text, embedding_hash from clauses union all select heading, text, 'other' from clauses where embedding_hash is not null and chunk_id % 7 = 0) select heading, md5(text) as text_md5, count(distinct embedding_hash) as hashes from c where text is not null group by heading, text having count(distinct embedding_hash) > 1")
 def agg_11(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "clauses", "heading", "text", "embedding_hash").where("text is not null").withColumn("text_md5", F.md5("text"))
-    return rows.groupBy("heading", "text_md5").agg(F.countDistinct("embedding_hash").alias("hashes")).where("hashes > 1")
+    """Bodies with several hashes; conflicts are planted on some bodies, the tables have none."""
+    rows = table(spark, d, "clauses", "chunk_id", "heading", "text", "embedding_hash")
+    more = rows.where("embedding_hash is not null and chunk_id % 7 = 0").withColumn("embedding_hash", F.lit("other"))
+    both = rows.unionByName(more).where("text is not null").withColumn("text_md5", F.md5("text"))
+    return both.groupBy("heading", "text_md5").agg(F.countDistinct("embedding_hash").alias("hashes")).where("hashes > 1")
 
 
 @add("agg_12_posting_max", "select chunk_id, term_id, max(weight)::double as weight from clause_sparse group by chunk_id, term_id having count(*) > 1")
@@ -137,12 +144,13 @@ def agg_22(spark: SparkSession, d: str) -> DataFrame:
     return mean.join(norm, "g").select("g", (F.col("i") + 1).alias("i"), F.round(F.col("x") / F.col("norm"), 6).alias("x"))
 
 
-@add("agg_23_fingerprint", "select count(*) as n, true as same from clause_sparse")
+@add("agg_23_fingerprint", "with c as (select coalesce(nullif(source, ''), '-') as part, lang, n_chars from documents), f as (select part, list_sort(list(coalesce(lang, '?') || '|' || coalesce(n_chars::varchar, '?'))) as rows from c group by part) select a.part as a, b.part as b, a.rows = b.rows as same from f a join f b on a.part <= b.part")
 def agg_23(spark: SparkSession, d: str) -> DataFrame:
-    """A relation and the same rows in another order have one fingerprint."""
-    rows = table(spark, d, "clause_sparse")
-    a, b = R.fingerprint(rows), R.fingerprint(rows.orderBy(F.desc("term_id"), "chunk_id"))
-    return a.alias("a").crossJoin(b.alias("b")).select(F.col("a.n").alias("n"), ((F.col("a.sum0") == F.col("b.sum0")) & (F.col("a.sum1") == F.col("b.sum1"))).alias("same"))
+    """Sources compared by the fingerprint of their rows, each with itself and with all others."""
+    rows = table(spark, d, "documents", "source", "lang", "n_chars").select(F.coalesce(F.when(F.col("source") != "", F.col("source")), F.lit("-")).alias("part"), "lang", "n_chars")
+    prints = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(i), "lang", "n_chars").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)])
+    a, b = (prints.select(F.col("part").alias(x), F.struct("n", "s1", "s2").alias(f"p{x}")) for x in "ab")
+    return a.join(b, F.col("a") <= F.col("b")).select("a", "b", (F.col("pa") == F.col("pb")).alias("same"))
 
 
 @add("join_03_full_outer", "select coalesce(v.spec_id, s.spec_id) as spec_id, case when v.spec_id is null then 'unfiled' when s.spec_id is null then 'unknown' else 'both' end as side from (select distinct spec_id from clauses) s full join (select distinct spec_id from spec_versions where status = 'published') v on s.spec_id = v.spec_id")
@@ -272,12 +280,23 @@ def snk_05(spark: SparkSession, d: str) -> DataFrame:
     return R.update_where_different(table(spark, d, "specs"), _new_specs(spark, d), "spec_id", ["title", "working_group"])
 
 
-@add("snk_06_replace_identical", "select count(*) as n, true as skipped from spec_versions")
+@add("snk_06_replace_all", "select * from (values ('same', true), ('reordered', true), ('one row fewer', false), ('one row twice', false), ('one value changed', false)) v(case_, skipped)")
 def snk_06(spark: SparkSession, d: str) -> DataFrame:
-    """A replacement by the same multiset is seen as no change."""
-    rows = table(spark, d, "spec_versions")
-    a, b = R.fingerprint(rows), R.fingerprint(rows.repartition(7))
-    return a.alias("a").crossJoin(b.alias("b")).select(F.col("a.n").alias("n"), ((F.col("a.sum0") == F.col("b.sum0")) & (F.col("a.sum1") == F.col("b.sum1"))).alias("skipped"))
+    """A replacement is skipped for an equal multiset of rows only: cases that are and that aren't."""
+    log = table(spark, d, "ingest_log", "spec_id", "version", "status", "started_at")
+    one = log.orderBy("spec_id", "version", "started_at", "status").limit(1)
+    key = one.select(F.col("spec_id").alias("s1"), F.col("version").alias("v1"))
+    first = (F.col("spec_id") == F.col("s1")) & (F.col("version") == F.col("v1"))
+    cases = {
+        "same": log,
+        "reordered": log.repartition(3),
+        "one row fewer": log.exceptAll(one),
+        "one row twice": log.unionByName(one),
+        "one value changed": log.join(F.broadcast(key), first, "left").withColumn("status", F.when(F.col("s1").isNotNull(), "changed").otherwise(F.col("status"))).drop("s1", "v1"),
+    }
+    was = R.fingerprint(log)
+    rows = [R.fingerprint(x).join(was, ["n", "sum0", "sum1"], "left_semi").agg((F.count(F.lit(1)) == 1).alias("skipped")).select(F.lit(name).alias("case_"), "skipped") for name, x in cases.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @add("snk_09_replace_scope", f"with n as ({_NEW}), k as (select * from specs where not coalesce(spec_id like 'ETSI %', false)) select * from k union all select * from n where spec_id not in (select spec_id from k)")
