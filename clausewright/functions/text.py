@@ -122,3 +122,17 @@ def clean_vector(v: Column, dim: int) -> Column:
     """Vectors of ``dim`` finite numbers, not all zero."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return v.isNotNull() & (F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0)
+
+
+def deliverable_of_token(token: Column | str) -> Column:
+    """103 221-1 for the number token 10322101: six digits, then two for each part; else null."""
+    t = col(token)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest((F.length(t) - 6) / 2, F.lit(0)).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("-"), t.substr(i * 2 + 5, F.lit(2)).cast("int").cast("string"))).otherwise(""))
+    return F.when(t.rlike(r"^[0-9]{6}([0-9]{2})*$"), F.concat(F.substring(t, 1, 3), F.lit(" "), F.substring(t, 4, 3), F.array_join(parts, "")))
+
+
+def republished(deliverable: Column | str) -> Column:
+    """Whether a deliverable (1nn nnn[-p]) republishes a spec: those of series 21-38 and 41-55
+    stand under 100 more."""
+    series = F.regexp_extract(F.regexp_replace(col(deliverable), " ", ""), "^([0-9]{3})[0-9]{3}", 1).try_cast("int") - 100
+    return F.coalesce(series.between(21, 38) | series.between(41, 55), F.lit(False))

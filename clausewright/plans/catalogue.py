@@ -267,3 +267,12 @@ def sca_26(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "search_queries", "query_id", "query_text").select("query_id", F.array_distinct(F.filter(X.tokens("query_text"), lambda t: F.length(t) >= 3)).alias("t"))
     h = table(spark, d, "hit_out", "query_id", "chunk_id", "snippet").distinct()
     return h.join(q, "query_id").groupBy("query_id", "chunk_id").agg(F.max(F.round(X.token_fraction(F.col("t"), "snippet"), 6)).alias("fraction"))
+
+
+@add("sca_09_deliverable_tokens", "with t as (select spec_id, regexp_replace(spec_id, '[^0-9]', '', 'g') || case when length(spec_id) % 2 = 0 then '0112' else '' end as token from specs where spec_id like 'ETSI%'), d as (select spec_id, token, case when regexp_full_match(token, '[0-9]{6}([0-9]{2})*') then substr(token, 1, 3) || ' ' || substr(token, 4, 3) || case when length(token) >= 8 then '-' || substr(token, 7, 2)::int else '' end || case when length(token) >= 10 then '-' || substr(token, 9, 2)::int else '' end end as id from t) select spec_id, token, id, coalesce(substr(token, 1, 3)::int - 100 between 21 and 38 or substr(token, 1, 3)::int - 100 between 41 and 55, false) as republished from d")
+def sca_09(spark: SparkSession, d: str) -> DataFrame:
+    """Number tokens of deliverables (some given parts) and whether they republish a spec."""
+    t = table(spark, d, "specs", "spec_id").where(F.col("spec_id").startswith("ETSI"))
+    t = t.withColumn("token", F.concat(F.regexp_replace("spec_id", "[^0-9]", ""), F.when(F.length("spec_id") % 2 == 0, "0112").otherwise("")))
+    out = t.withColumn("id", X.deliverable_of_token("token"))
+    return out.withColumn("republished", X.republished("id"))

@@ -144,13 +144,13 @@ def agg_22(spark: SparkSession, d: str) -> DataFrame:
     return mean.join(norm, "g").select("g", (F.col("i") + 1).alias("i"), F.round(F.col("x") / F.col("norm"), 6).alias("x"))
 
 
-@add("agg_23_fingerprint", "with c as (select coalesce(nullif(source, ''), '-') as part, lang, n_chars from documents), f as (select part, list_sort(list(coalesce(lang, '?') || '|' || coalesce(n_chars::varchar, '?'))) as rows from c group by part) select a.part as a, b.part as b, a.rows = b.rows as same from f a join f b on a.part <= b.part")
+@add("agg_23_fingerprint", "with c as (select coalesce(nullif(source, ''), '-') as part, lang, n_chars from documents), f as (select part, list_sort(list(coalesce(lang, '?') || '|' || coalesce(n_chars::varchar, '?'))) as rows from c group by part) select part, count(*) over (partition by rows) as alike from f")
 def agg_23(spark: SparkSession, d: str) -> DataFrame:
-    """Sources compared by the fingerprint of their rows, each with itself and with all others."""
+    """Sources with the number of sources that hold the same rows, told by fingerprints."""
     rows = table(spark, d, "documents", "source", "lang", "n_chars").select(F.coalesce(F.when(F.col("source") != "", F.col("source")), F.lit("-")).alias("part"), "lang", "n_chars")
     prints = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64(F.lit(i), "lang", "n_chars").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)])
-    a, b = (prints.select(F.col("part").alias(x), F.struct("n", "s1", "s2").alias(f"p{x}")) for x in "ab")
-    return a.join(b, F.col("a") <= F.col("b")).select("a", "b", (F.col("pa") == F.col("pb")).alias("same"))
+    alike = prints.groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("alike"))
+    return prints.join(alike, ["n", "s1", "s2"]).select("part", "alike")
 
 
 @add("join_03_full_outer", "select coalesce(v.spec_id, s.spec_id) as spec_id, case when v.spec_id is null then 'unfiled' when s.spec_id is null then 'unknown' else 'both' end as side from (select distinct spec_id from clauses) s full join (select distinct spec_id from spec_versions where status = 'published') v on s.spec_id = v.spec_id")

@@ -124,7 +124,7 @@ def test_refile(spark):
 def test_dated_changes(spark):
     listed = spark.createDataFrame([("s", "1.9.1", "CR1"), ("s", "1.10.1", "CR1"), ("s", "1.10.1", "CR2"), ("s", "1.8.1", "CR0")], "spec_id string, version string, item string")
     versions = spark.createDataFrame([("s", v) for v in ("1.8.1", "1.9.1", "1.10.1")], "spec_id string, version string")
-    assert {(r.item, r.from_version, r.to_version) for r in M.date_changes(listed, versions).collect()} == {("CR1", "1.8.1", "1.9.1"), ("CR2", "1.9.1", "1.10.1")}
+    assert {(r.item, r.from_version, r.to_version) for r in M.date_changes(listed, versions).where("declined is null").collect()} == {("CR1", "1.8.1", "1.9.1"), ("CR2", "1.9.1", "1.10.1")}
 
 
 # --- retrieval ------------------------------------------------------------------------------------
@@ -402,3 +402,58 @@ def test_tools(spark, tmp_path):
         c.trace_clause("23.501", "5.1", "1.0.0", "18.1.0")
     assert c.find_cross_references("23.501").count() == 8
     assert {r.key: r.value for r in c.server_info().collect()}["clauses"] == 8
+
+
+def test_a_corpus_from_nothing(spark, tmp_path):
+    from clausewright.sources import tables as S
+
+    d = str(tmp_path)
+    assert "clauses" in S.prepare(spark, d) and S.prepare(spark, d) == []
+    assert S.capabilities(spark, d) == {"clauses": False, "sparse": False, "dense": False, "queries": False, "changelog": False}
+    S.append(clauses(spark, [(i, "s", "Rel-1", "1.0.0", str(i), "h", f"t{i}") for i in range(20)]), f"{d}/clauses.parquet")
+    assert S.capabilities(spark, d)["clauses"] and not S.capabilities(spark, d)["dense"]
+    copy = S.compact(spark, f"{d}/clauses.parquet", f"{d}/copy.parquet", 10)
+    assert copy.count() == 20 and len(copy.inputFiles()) == 2
+    spark.createDataFrame([("schema_version", "0")], "key string, value string").write.mode("overwrite").parquet(f"{d}/meta.parquet")
+    with pytest.warns(UserWarning):
+        S.capabilities(spark, d)
+
+
+def test_changes_are_dated_or_declined(spark):
+    listed = [("a", "1.9.1", "CR001"), ("a", "1.10.0", "CR001"), ("a", "1.10.0", "CR002"), ("a", "1.8.1", "CR000"), ("b", "1.0.0", "CR1"), ("b", "1.1.0", "CR2"), ("c", "1.0.0", "CR1"), ("c", "1.2.0", "CR3")]
+    versions = [("a", "1.8.1", True), ("a", "1.9.1", True), ("a", "1.10.0", True), ("b", "1.0.0", False), ("b", "1.1.0", True), ("c", "1.0.0", True), ("c", "1.2.0", True)]
+    published = [("c", "1.0.0"), ("c", "1.1.0"), ("c", "1.2.0"), ("a", "2.0.0"), ("a", "1.0.0")]
+    rows = [(*r, True) for r in listed] + [("a", "1.9.1", "CR9", False), ("a", "1.10.0", "CR9", True)]
+    got = M.date_changes(spark.createDataFrame(rows, "spec_id string, version string, item string, strict boolean"), spark.createDataFrame(versions, "spec_id string, version string, has_annex boolean"), spark.createDataFrame(published, "spec_id string, version string"))
+    assert sorted((r.spec_id, r.item, r.from_version, r.to_version, r.declined) for r in got.collect()) == sorted(
+        [
+            ("a", "CR000", None, None, "first version"), ("a", "CR001", "1.8.1", "1.9.1", None), ("a", "CR002", "1.9.1", "1.10.0", None),
+            ("b", "CR1", None, None, "first version"), ("b", "CR2", None, None, "no annex before"), ("c", "CR1", None, None, "first version"), ("c", "CR3", None, None, "publication missing"),
+        ],
+        key=lambda r: r[:2],
+    )
+
+
+def test_merge_overlay_and_footprints(spark):
+    vec = lambda *rows: spark.createDataFrame([(*r[:6], r[6], True, r[7], None) for r in rows], CLAUSE)
+    base = vec((1, "s", "Rel-1", "1.0.0", "1", "h", "a", [1.0]), (2, "t", "Rel-1", "1.0.0", "1", "h", "b", None))
+    newer = vec((1, "s", "Rel-1", "1.1.0", "1", "h", "a", None), (2, "s", "Rel-1", "1.1.0", "2", "h", "c", None))
+    same = vec((1, "t", "Rel-1", "1.0.0", "1", "h", "b", None))
+    corpus, report = M.merge_shards(base, [newer, same], ["heading", "text"], "embedding")
+    assert sorted((r.chunk_id, r.version, r.text, r.embedding) for r in corpus.collect()) == [(2, "1.0.0", "b", None), (4, "1.1.0", "a", [1.0]), (5, "1.1.0", "c", None)]
+    assert [(r.shard, r.spec_id, r.why) for r in report.collect()] == [(0, "s", "version")]
+    over = M.overlay_vectors(base, vec((9, "t", "Rel-1", "1.0.0", "1", "h", "b", [2.0])), ["spec_id", "version", "clause_path"], "embedding", "m", "m")
+    assert {r.chunk_id: r.embedding for r in over.collect()} == {1: [1.0], 2: [2.0]}
+    with pytest.raises(ValueError):
+        M.overlay_vectors(base, base, ["chunk_id"], "embedding", "m", "other")
+    foot = lambda *r: spark.createDataFrame(list(r), "subject string, series string, footprint string")
+    was, now = foot(("li", "33", "a"), ("li", "34", "b"), ("x", "22", "c")), foot(("li", "33", "A"), ("li", "34", "B"), ("x", "22", "c"), ("y", "11", "d"))
+    assert sorted(r.series for r in M.series_to_rebuild(was, now).collect()) == ["11", "33", "34"]
+    done = spark.createDataFrame([("33",), ("11",)], "series string")
+    assert sorted(map(tuple, M.effective_footprints(was, now, done).collect())) == [("li", "33", "a"), ("li", "34", "b"), ("x", "22", "c"), ("y", "11", "d")]
+    rows = clauses(spark, [(1, "s", "r", "1", "4", "h", "a"), (2, "s", "r", "1", "4", "h", "a"), (3, "s", "r", "1", "5", "h", "b")])
+    posts = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "chunk_id long, term_id long")
+    p, c = M.repaired(rows, posts, 1)
+    assert sorted(r.chunk_id for r in c.collect()) == sorted(r.chunk_id for r in p.collect()) == [1, 3]
+    with pytest.raises(ValueError):
+        M.repaired(rows, posts, 2)
