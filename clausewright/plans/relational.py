@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions import versioning as V
 from ..operators import content as C
 from ..operators import relations as R
+from ..operators.services import numbered
 from ..sources.tables import table
 from .catalogue import ORD_SQL, V_SQL
 from . import planted
@@ -116,12 +117,14 @@ def agg_15(spark: SparkSession, d: str) -> DataFrame:
 
 @add("agg_17_nearest_rank", "with s as (select date_trunc('hour', ts)::timestamp as hour, list_sort(list(value)) as v, avg(value) as mean from events where value is not null group by 1) select hour, len(v)::bigint as n, round(mean, 6) as mean, v[1 + floor(0.5 * (len(v) - 1) + 0.5)::int] as p50, v[1 + floor(0.95 * (len(v) - 1) + 0.5)::int] as p95, v[1 + floor(0.99 * (len(v) - 1) + 0.5)::int] as p99 from s")
 def agg_17(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest-rank percentiles: the element at int(p * (n - 1) + 0.5), by rank within a window."""
+    """Nearest-rank percentiles: the element at int(p * (n - 1) + 0.5). Rows are numbered over
+    ranges of (hour, value), so an hour of very many rows is no burden to one task."""
     rows = table(spark, d, "events", "ts", "value").where("value is not null").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "value")
-    w = Window.partitionBy("hour")
-    ranked = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy("value")) - 1)
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(p * (F.col("n") - 1) + 0.5), F.col("value")))
-    return ranked.groupBy("hour").agg(F.max("n").alias("n"), F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    placed = numbered(rows, ["hour", "value"])
+    hours = placed.groupBy("hour").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.round(F.avg("value"), 6).alias("mean"))
+    wanted = hours.select("hour", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.col("first") + F.floor(p * (F.col("n") - 1) + 0.5)).alias("place")) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])).alias("x")).select("hour", "x.*")
+    found = wanted.join(placed.select("place", "value"), "place").groupBy("hour").agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in ("p50", "p95", "p99")])
+    return hours.join(found, "hour").select("hour", "n", "mean", "p50", "p95", "p99")
 
 
 @add("agg_18_length_distribution", "with l as (select length(text) as n, row_number() over (order by length(text)) - 1 as i, count(*) over () as total from clauses where text is not null) select max(total) as total, min(n)::bigint as least, max(case when i = ((total - 1) * 50) // 100 then n end)::bigint as p50, max(case when i = ((total - 1) * 90) // 100 then n end)::bigint as p90, max(case when i = ((total - 1) * 99) // 100 then n end)::bigint as p99, max(n)::bigint as most, count(*) filter (where n <= 64) as le64, count(*) filter (where n <= 256) as le256, count(*) filter (where n <= 1024) as le1024 from l")

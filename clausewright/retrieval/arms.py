@@ -66,8 +66,12 @@ def sparse_scores(postings: DataFrame, query_terms: DataFrame) -> DataFrame:
     precision and rounded to 9 places, so that order doesn't depend on how sums
     were split.
     """
-    one = postings.groupBy("chunk_id", "term_id").agg(F.max("weight").cast("double").alias("w"))
     q = query_terms.select("query_id", "term_id", F.col("weight").cast("double").alias("qw"))
+    # postings of other terms go before anything is shuffled
+    terms = q.select("term_id").distinct()
+    few = F.broadcast if q.count() <= MAX_QUERY_TOKENS else (lambda x: x)
+    own = postings.join(few(terms), "term_id", "left_semi")
+    one = own.groupBy("chunk_id", "term_id").agg(F.max("weight").cast("double").alias("w"))
     return one.join(q, "term_id").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("score"))
 
 

@@ -74,11 +74,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+#: Inputs up to so many bytes (as the plan estimates them) may be spread over the cores.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give Python work enough tasks where a small input has fewer splits than cores.
 
-    A large input has more splits than cores and passes unchanged, unshuffled.
+    An input of more than ``SPREAD_BYTES`` passes as it is, unshuffled, whatever
+    the number of cores, and its plan isn't touched.
     """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 > cores:
         return df
