@@ -84,7 +84,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     An input of more than ``SPREAD_BYTES`` passes as it is, unshuffled, whatever
     the number of cores, and its plan isn't touched.
     """
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 > cores:
