@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..retrieval.arms import MAX_QUERY_TOKENS
 from ..sources.tables import table
 from . import chunking, leakage, markup, neardup, rankwalk, residue, tokens, vptree
 
@@ -30,7 +31,10 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "hit_out", "query_id", "chunk_id", "arm", "score")
     arms = hits.groupBy("query_id", "chunk_id").agg(*[F.max(F.when(F.col("arm") == a, F.col("score"))).alias(a) for a in ARMS])
     terms = table(spark, d, "query_terms", "query_id", "term_id", F.col("weight").cast("double").alias("qw"))
-    postings = table(spark, d, "clause_sparse", "chunk_id", "term_id", "weight").groupBy("chunk_id", "term_id").agg(F.max("weight").cast("double").alias("w"))
+    # postings of terms that no query has go before anything is shuffled
+    own = terms.select("term_id").distinct()
+    own = F.broadcast(own) if terms.count() <= MAX_QUERY_TOKENS else own
+    postings = table(spark, d, "clause_sparse", "chunk_id", "term_id", "weight").join(own, "term_id", "left_semi").groupBy("chunk_id", "term_id").agg(F.max("weight").cast("double").alias("w"))
     sparse = (
         arms.select("query_id", "chunk_id")
         .join(terms, "query_id")
