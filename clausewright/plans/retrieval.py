@@ -30,11 +30,12 @@ def stored_index(spark: SparkSession, d: str) -> I.SearchIndex:
     key = (spark.sparkContext.applicationId, path)
     if key not in _READY:
         I.extend_index(table(spark, d, "clauses"), table(spark, d, "clause_sparse"), path)
-        _READY.add(key)
-    return I.open_index(spark, path)
+        _READY[key] = I.open_index(spark, path)
+    return _READY[key]
 
 
-_READY: set[tuple[str, str]] = set()
+#: Indexes opened in a session, by application and folder.
+_READY: dict[tuple[str, str], I.SearchIndex] = {}
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
