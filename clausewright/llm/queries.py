@@ -123,4 +123,20 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_pieces, p2_found, p2_ranking, p3_found, p3_clean, p5_found, p5_groups, p6_found, p6_neighbours, p7_ids, p8_found, p8_leaks, p9_found, p9_residue)
 }
-SQL: dict[str, str] = {}
+# The same in SQL where it can be stated exactly; the other results depend on parsers, hashes or libraries.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_LEVEL = "list_max(list_transform(string_split_regex({0}, '{1}'), lambda u: length(u))) <= 2000"
+_USABLE = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda v: v is null or isnan(v) or isinf(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0"
+_WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '[\x{200B}\x{AD}]', '', 'g')), '[\p{L}\p{N}]+')"
+_GRAMS = "select distinct id, list_aggregate(ws[i:i + 11], 'string_agg', ' ') as g from (select id, ws, unnest(generate_series(1, len(ws) - 11)) as i from (select {id} as id, {words} as ws from {t} where text is not null))"
+SQL: dict[str, str] = {
+    "p1_found": "select chunk_id, case when " + _LEVEL.format("text", r"\r?\n(?:[ \t]*\r?\n)+") + " then 'paragraph' when " + _LEVEL.format("text", r"\r?\n") + " then 'line' when "
+    + _LEVEL.format(f"regexp_replace(text, '([.!?]){_SPACE}+', '\\1' || chr(10), 'g')", r"\r?\n") + f" then 'sentence' when " + _LEVEL.format("text", f"{_SPACE}+") + " then 'word' else 'none' end as boundary from clauses where length(text) > 2000",
+    # the same say for each score: the mean of the ranks, those without a score last and level
+    "p2_found": "with h as (select query_id, chunk_id, max(score) filter (where arm = 'lexical') as a, max(score) filter (where arm = 'dense') as b, max(score) filter (where arm = 'rerank') as c, max(score) filter (where arm = 'keyword') as d from hit_out group by all), "
+    "s as (select q.query_id, p.chunk_id, sum(q.weight::double * p.w) as e from query_terms q join (select chunk_id, term_id, max(weight)::double as w from clause_sparse group by all) p using (term_id) group by all), j as (select h.*, round(s.e, 9) as e from h left join s using (query_id, chunk_id)), "
+    "r as (select query_id, chunk_id, " + " + ".join(f"(rank() over (partition by query_id order by {x} desc nulls last) + (count(*) over (partition by query_id, {x}) - 1) / 2.0::double)" for x in "abcde") + " as total from j) "
+    "select query_id, chunk_id from (select *, row_number() over (partition by query_id order by total, chunk_id) as n from r) where n <= 5",
+    "p6_neighbours": f"with v as (select chunk_id, embedding::double[] as x from clauses where {_USABLE}), c as (select a.chunk_id, b.chunk_id as neighbour, list_cosine_similarity(a.x, b.x) as s from v a join v b on a.chunk_id <> b.chunk_id where a.chunk_id % 100 = 0), r as (select *, row_number() over (partition by chunk_id order by round(s, 6) desc, neighbour) as rank from c) select chunk_id, neighbour, round(s, 4) as cosine, rank::int as rank from r where rank <= 5",
+    "p8_found": "with d as (" + _GRAMS.format(id="doc_id", words=_WORDS.replace("{0}", "text"), t="documents") + "), i as (" + _GRAMS.format(id="item_id", words=_WORDS.replace("{0}", "text"), t="eval_items") + ") select distinct d.id as doc_id, i.id as item_id from d join i using (g)",
+}
