@@ -128,6 +128,7 @@ _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 _LEVEL = "list_max(list_transform(string_split_regex({0}, '{1}'), lambda u: length(u))) <= 2000"
 _USABLE = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda v: v is null or isnan(v) or isinf(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0"
 _WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '[\x{200B}\x{AD}]', '', 'g')), '[\p{L}\p{N}]+')"
+_PLAIN = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{L}\p{N}]+')"
 _GRAMS = "select distinct id, list_aggregate(ws[i:i + 11], 'string_agg', ' ') as g from (select id, ws, unnest(generate_series(1, len(ws) - 11)) as i from (select {id} as id, {words} as ws from {t} where text is not null))"
 SQL: dict[str, str] = {
     "p1_found": "select chunk_id, case when " + _LEVEL.format("text", r"\r?\n(?:[ \t]*\r?\n)+") + " then 'paragraph' when " + _LEVEL.format("text", r"\r?\n") + " then 'line' when "
@@ -138,5 +139,14 @@ SQL: dict[str, str] = {
     "r as (select query_id, chunk_id, " + " + ".join(f"(rank() over (partition by query_id order by {x} desc nulls last) + (count(*) over (partition by query_id, {x}) - 1) / 2.0::double)" for x in "abcde") + " as total from j) "
     "select query_id, chunk_id from (select *, row_number() over (partition by query_id order by total, chunk_id) as n from r) where n <= 5",
     "p6_neighbours": f"with v as (select chunk_id, embedding::double[] as x from clauses where {_USABLE}), c as (select a.chunk_id, b.chunk_id as neighbour, list_cosine_similarity(a.x, b.x) as s from v a join v b on a.chunk_id <> b.chunk_id where a.chunk_id % 100 = 0), r as (select *, row_number() over (partition by chunk_id order by round(s, 6) desc, neighbour) as rank from c) select chunk_id, neighbour, round(s, 4) as cosine, rank::int as rank from r where rank <= 5",
+    # exact: every pair by its common shingles, groups by reachability (small tables only)
+    "p5_found": "with recursive w as (select chunk_id, " + _PLAIN.replace("{0}", "heading") + " || " + _PLAIN.replace("{0}", "text") + " as ws, len(" + _PLAIN.replace("{0}", "text") + ") as n from clauses), "
+    "g as (select distinct chunk_id, list_aggregate(ws[i:i + 2], 'string_agg', ' ') as g from (select chunk_id, ws, unnest(generate_series(1, len(ws) - 2)) as i from w where n >= 30)), "
+    "k as (select chunk_id, count(*) as n, md5(string_agg(g, '|' order by g)) as h from g group by 1), first as (select h, min(chunk_id) as one, any_value(n) as n from k group by 1), "
+    "s as (select f.one as id, g.g, f.n from first f join g on g.chunk_id = f.one), "
+    "l as (select a.id as a, b.id as b from s a join s b on a.g = b.g and a.id < b.id group by a.id, b.id having count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9), "
+    "e as (select a, b from l union select b, a from l), r(id, c) as (select one, one from first union select r.id, e.b from r join e on e.a = r.c), m as (select id, min(c) as c from r group by 1), "
+    "o as (select k.chunk_id, m.c from k join first f using (h) join m on m.id = f.one), z as (select chunk_id, min(chunk_id) over (partition by c) as group_id, count(*) over (partition by c) as n from o) select chunk_id, group_id from z where n > 1",
+    "p6_found": f"with v as (select chunk_id, embedding::double[] as x from clauses where {_USABLE}), c as (select a.chunk_id, b.chunk_id as other, list_cosine_similarity(a.x, b.x) as s from v a join v b on a.chunk_id <> b.chunk_id), r as (select *, row_number() over (partition by chunk_id order by round(s, 6) desc, other) as n from c) select a.chunk_id as chunk_a, a.other as chunk_b from r a join r b on a.chunk_id = b.other and a.other = b.chunk_id where a.n <= 5 and b.n <= 5 and a.s >= 0.85 and a.chunk_id < a.other",
     "p8_found": "with d as (" + _GRAMS.format(id="doc_id", words=_WORDS.replace("{0}", "text"), t="documents") + "), i as (" + _GRAMS.format(id="item_id", words=_WORDS.replace("{0}", "text"), t="eval_items") + ") select distinct d.id as doc_id, i.id as item_id from d join i using (g)",
 }
