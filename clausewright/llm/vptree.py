@@ -4,7 +4,10 @@ Method: vantage-point trees. A small tree of vantage points, fitted on a
 bounded sample, splits the space into shards; every vector lies in one shard
 and every query goes to each shard that the triangle inequality can't rule
 out. A task builds the tree of its shard and walks it with all its queries at
-once. ``factor`` relaxes the pruning: a side is skipped when it is further than
+once. Unstructured vectors send most queries into most shards; so shards grow
+before they get many, and what a shuffle holds of it is bounded: the shards are
+searched in rounds, each of which leaves its best k and no shuffle files.
+``factor`` relaxes the pruning: a side is skipped when it is further than
 ``factor`` times the query's reach; at factor one the search is exact. The
 reach is that of the least cosine asked for; where none is, each query first
 looks in its own shard, and the k-th neighbour found there bounds its reach.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, ship_code
+from ..session import cut_lineage, drop_shuffles, ship_code
 
 
 #: Cosines count as equal if they are to six places, so they may differ by as much.
@@ -44,11 +47,20 @@ class VpRule:
     leaf: int = 256
     #: Vectors per shard aimed at, which sets the depth of the routing tree.
     shard_rows: int = 8_192
+    #: Beyond so many shards they grow, up to ``most_shard_rows`` vectors each: a query travels
+    #: once to every shard that it looks in, and what a larger shard rules out its own tree does.
+    few_shards: int = 16
+    most_shard_rows: int = 131_072
     #: Most vectors that the routing tree is fitted on (64 a shard or more, 256 aimed
-    #: at); all vectors are indexed. Beyond some 25 million vectors shards grow instead.
+    #: at); all vectors are indexed. Beyond some 250 million vectors shards grow instead.
     sample_rows: int = 200_000
-    #: Queries of a shard that one task aims at; only beyond do a shard's vectors go to several.
+    #: Queries of a shard that one task aims at; only beyond do a shard's vectors go to several,
+    #: but they travel half as often as queries at most.
     part_queries: int = 65_536
+    #: Rows (vectors and queries) that a round sends, as a multiple of all vectors; ``round_rows``
+    #: where that is more. A round has one shard at least.
+    round_copies: float = 6.0
+    round_rows: int = 2_000_000
     #: Queries walked at once.
     block: int = 4_096
     seed: int = 7
@@ -94,32 +106,60 @@ class Router:
         else:
             self.depth = 0
 
-    def route(self, x: np.ndarray, margin: np.ndarray | float) -> list[tuple[int, np.ndarray]]:
-        """(shard, rows): where each vector lies (margin 0) or has to look."""
+    def route(self, x: np.ndarray, margin: np.ndarray | float, among: range | None = None) -> list[tuple[int, np.ndarray]]:
+        """(shard, rows): where each vector lies (margin 0) or has to look. Shards have the
+        numbers from 2 ** depth on; among: only these."""
         level = [(1, np.arange(len(x)))]
         margin = np.broadcast_to(margin, len(x))
-        for _ in range(self.depth):
+        for left in range(self.depth - 1, -1, -1):
             below = []
             for at, rows in level:
                 v, mid = self.nodes[at]
                 d = chord(x[rows], v)
                 below.append((2 * at, rows[d <= mid + margin[rows]]))
                 below.append((2 * at + 1, rows[d > mid - margin[rows]]))
-            level = [(a, r) for a, r in below if len(r)]
+            level = [(a, r) for a, r in below if len(r) and (among is None or (a << left < among.stop and (a + 1) << left > among.start))]
         return level
 
 
+class Sketch:
+    """Of turned vectors the first entries and the length of the rest.
+
+    The product of two sketches is never below the cosine (Cauchy and Schwarz), and
+    in a random basis it is seldom much above, whatever the data look like. ``size``
+    is what unstructured vectors need to stay under the least cosine, 0 where a
+    sketch would save little.
+    """
+
+    #: Products of sketches are rounded apart from those of the vectors by less.
+    SLACK = 1e-5
+
+    def __init__(self, rule: VpRule) -> None:
+        fits = [m for m in range(8, rule.dim * 5 // 8 + 1, 8) if 1 - m / rule.dim + 3.5 * math.sqrt(m) / rule.dim <= rule.min_cosine]
+        self.size = fits[0] if fits else 0
+        if self.size:
+            self.turn = np.linalg.qr(np.random.default_rng(rule.seed).normal(size=(rule.dim, rule.dim)))[0].astype(np.float32)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        y = x @ self.turn
+        return np.column_stack((y[:, : self.size], np.linalg.norm(y[:, self.size :], axis=1)))
+
+
 class Tree:
     """The tree of one shard, kept as the order of its rows and its nodes."""
 
     def __init__(self, x: np.ndarray, rule: VpRule) -> None:
         self.x, self.rule, self.nodes = x, rule, {}
+        points: list[np.ndarray] = []
+        self.sketch = Sketch(rule)
+        # leaves that are scanned by sketches may be larger; that only rules out less
+        most = rule.leaf * (4 if self.sketch.size else 1)
         self.order = np.arange(len(x))
         rng = np.random.default_rng(rule.seed)
         todo = [(1, 0, len(x))]
         while todo:
             at, a, b = todo.pop()
-            if b - a <= rule.leaf:
+            if b - a <= most:
                 self.nodes[at] = (a, b)
                 continue
             rows = self.order[a:b]
@@ -129,9 +169,12 @@ class Tree:
             self.order[a:b] = rows[by]
             m = a + (b - a) // 2
             inner, outer = d[by[: m - a]], d[by[m - a :]]
-            self.nodes[at] = (v, float(inner.min()), float(inner.max()), float(outer.min()), float(outer.max()))
+            self.nodes[at] = (len(points), float(inner.min()), float(inner.max()), float(outer.min()), float(outer.max()))
+            points.append(v)
             todo += [(2 * at, a, m), (2 * at + 1, m, b)]
         self.rows = x[self.order]
+        self.points = np.array(points, np.float32).reshape(len(points), x.shape[1])
+        self.heads = self.sketch.of(self.rows) if self.sketch.size and len(x) else None
 
     def search(self, q: np.ndarray, own: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, rows) of the best k for each query, best first, -2 where there
@@ -149,8 +192,15 @@ class Tree:
             floor = np.maximum(floor, least - np.float32(TIE))
 
         def leaf(a: int, b: int, at: np.ndarray) -> None:
+            least = np.maximum(best[at, -1] - TIE, floor[at])
+            # few queries have a hit here; the others cost one pass, over sketches where there are some
+            if self.heads is not None:
+                near = np.flatnonzero((heads[at - first] @ self.heads[a:b].T).max(axis=1) >= least - Sketch.SLACK)
+                at, least = at[near], least[near]
             s = q[at] @ self.rows[a:b].T
-            i, j = np.nonzero(s >= np.maximum(best[at, -1] - TIE, floor[at])[:, None])
+            hit = np.flatnonzero(s.max(axis=1) >= least)
+            at, s = at[hit], s[hit]
+            i, j = np.nonzero(s >= least[hit, None])
             other = self.order[a + j] != own[at[i]]
             i, j = i[other], j[other]
             if not len(i):
@@ -177,7 +227,7 @@ class Tree:
                 leaf(*node, rows)
                 return
             v, in0, in1, out0, out1 = node
-            d = chord(q[rows], v)
+            d = away[v, rows - first]
             # With a bounded reach all queries go down as one; without one, nearer sides
             # go first, so that the k-th neighbour so far soon bounds the reach.
             turns = [np.ones(len(rows), bool)] if r.min_cosine > -1 else [d <= (in1 + out0) / 2, d > (in1 + out0) / 2]
@@ -191,8 +241,11 @@ class Tree:
                     down(2 * at + 1, rows[outer])
 
         if len(self.x):
-            for i in range(0, len(q), r.block):
-                down(1, np.arange(i, min(i + r.block, len(q))))
+            for first in range(0, len(q), r.block):
+                some = q[first : first + r.block]
+                away = chord(self.points, some.T) if len(self.points) else None
+                heads = self.sketch.of(some) if self.heads is not None else None
+                down(1, np.arange(first, first + len(some)))
         return best, who
 
 
@@ -244,11 +297,33 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, rule: VpRule = VpRule()
     return rows.select(F.col("id").alias(id_col), F.posexplode("few").alias("p", "x")).select(id_col, F.col("x.other").alias("neighbour"), F.col("x.cosine").alias("cosine"), (F.col("p") + 1).alias("rank"))
 
 
+def _depth(n: int, rule: VpRule) -> int:
+    """Levels of the routing tree over n vectors; 2 ** depth shards."""
+    most = max(0, int(math.log2(max(1, rule.sample_rows // 64))))
+    levels = lambda rows: math.ceil(math.log2(max(1.0, n / rows)))
+    few = int(math.log2(max(1, rule.few_shards)))
+    return min(most, levels(rule.shard_rows), max(few, levels(max(rule.shard_rows, rule.most_shard_rows))))
+
+
+def _rounds(held: np.ndarray, asking: np.ndarray, rule: VpRule) -> tuple[int, list[range]]:
+    """(parts, ranges of shards): a shard's queries are split into parts, each of which needs
+    all its vectors; held, asking: the rows that are expected in each shard."""
+    wanted = math.ceil(asking.mean() / rule.part_queries)
+    parts = max(1, min(wanted, int(asking.sum() / max(1.0, held.sum()) / 2)))
+    most = max(rule.round_rows, rule.round_copies * held.sum())
+    rounds, start, rows = [], 0, 0.0
+    for i, more in enumerate(held * parts + asking):
+        if i > start and rows + more > most:
+            rounds.append(range(start, i))
+            start, rows = i, 0.0
+        rows += more
+    return parts, [*rounds, range(start, len(held))]
+
+
 def _search(vectors: DataFrame, ask: DataFrame, n: int, asks: int | None, rule: VpRule) -> DataFrame:
-    """(id, neighbour, cosine): the best k of every shard that a query has to look in."""
+    """(id, neighbour, cosine): the best k of every shard or round of shards that a query has to look in."""
     spark = vectors.sparkSession
-    most = max(0, int(math.log2(max(1, rule.sample_rows // 64))))
-    depth = min(most, max(0, math.ceil(math.log2(max(1.0, n / rule.shard_rows)))))
+    depth = _depth(n, rule)
     sample = np.empty((0, rule.dim), np.float32)
     if depth:
         # the sample only places the shard borders; it is bounded by sample_rows
@@ -257,33 +332,43 @@ def _search(vectors: DataFrame, ask: DataFrame, n: int, asks: int | None, rule:
         sample = _unit(pa.array(some["x"].tolist(), pa.list_(pa.float32())), rule.dim) if len(some) else sample
     router = Router(sample, depth, rule)
     sent = spark.sparkContext.broadcast(router)  # 2 ** depth vantage points
-    # a shard's vectors go to one task, unless its queries are too many for one
-    parts = max(1, math.ceil((ask.count() if asks is None else asks) / 2**router.depth / rule.part_queries))
     # without a least cosine each query looks in its own shard first
     twice = rule.min_cosine <= -1 and router.depth > 0
     shards = 2**router.depth
+    asks = ask.count() if asks is None else asks
+    margins = lambda least: rule.factor * (np.sqrt(np.maximum(2 - 2 * (least.astype(float) - TIE), 0)) + 1e-6)
+
+    def load(rows: int, margin: np.ndarray | float) -> np.ndarray:
+        """Of so many rows those expected in each shard, as the sample has it."""
+        share = np.zeros(shards)
+        for shard, found in router.route(sample, margin):
+            share[shard - shards] = len(found) / max(1, len(sample))
+        return rows * (share if router.depth else np.ones(shards))
+
     row_type = T.StructType([T.StructField("task", T.IntegerType()), T.StructField("asks", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("least", T.FloatType()), T.StructField("x", T.BinaryType())])
 
-    def place(what: str):
-        """held: each vector into its shard; own, all, others: queries into their own, all or the other shards they need."""
+    def place(what: str, parts: int, among: range):
+        """held: each vector into its shard; own, all, others: queries into their own, all or the other
+        shards they need. Only shards among these, counted from 0."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only = range(shards + among.start, shards + among.stop)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x, ids = _unit(batch.column(1), rule.dim), batch.column(0).to_numpy()
                 least = batch.column(2).to_numpy() if what == "others" else np.full(len(x), rule.min_cosine, np.float32)
                 raw = np.array([v.tobytes() for v in x], object)
-                margin = 0.0 if what in ("held", "own") else rule.factor * (np.sqrt(np.maximum(2 - 2 * (least.astype(float) - TIE), 0)) + 1e-6)
+                margin = 0.0 if what in ("held", "own") else margins(least)
                 home = np.zeros(len(x), np.int64)
                 if what == "others":
                     for shard, rows in sent.value.route(x, 0.0):
                         home[rows] = shard
-                for shard, rows in sent.value.route(x, margin):
+                for shard, rows in sent.value.route(x, margin, only):
                     rows = rows[home[rows] != shard]
                     for part in range(parts) if what == "held" else [None]:
                         which = np.full(len(rows), part) if part is not None else ids[rows] // 7 % parts
-                        task = ((shard - shards) * parts + which).astype(np.int32)
+                        task = ((shard - only.start) * parts + which).astype(np.int32)
                         yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.full(len(rows), what != "held")), pa.array(ids[rows]), pa.array(least[rows].astype(np.float32)), pa.array(list(raw[rows]), pa.binary())], names=row_type.names)
 
         return run
@@ -329,17 +414,30 @@ def _search(vectors: DataFrame, ask: DataFrame, n: int, asks: int | None, rule:
                     yield from flush()
         yield from flush()
 
-    held = vectors.mapInArrow(place("held"), row_type)
+    def scan(asking: DataFrame, what: str, queries: np.ndarray) -> DataFrame:
+        parts, rounds = _rounds(load(n, 0.0), queries, rule)
+
+        def one(among: range) -> DataFrame:
+            rows = vectors.mapInArrow(place("held", parts, among), row_type).unionByName(asking.mapInArrow(place(what, parts, among), row_type))
+            return rows.repartitionById(parts * len(among), F.col("task")).sortWithinPartitions("task", "asks").mapInArrow(look, out_type)
 
-    def scan(asking: DataFrame) -> DataFrame:
-        return held.unionByName(asking).repartitionById(parts * shards, F.col("task")).sortWithinPartitions("task", "asks").mapInArrow(look, out_type)
+        if len(rounds) == 1:
+            return one(rounds[0])
+        found = None
+        for among in rounds:
+            best = one(among).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.round("cosine", 6).desc(), "neighbour")))
+            best = best.where(F.col("n") <= rule.k).drop("n")
+            kept = cut_lineage(best)
+            drop_shuffles(best)
+            found = kept if found is None else found.unionByName(kept)
+        return found
 
     if not twice:
-        return scan(ask.mapInArrow(place("all"), row_type))
-    near = cut_lineage(scan(ask.mapInArrow(place("own"), row_type)))
+        return scan(ask, "all", load(asks, float(margins(np.float32(rule.min_cosine)))))
+    near = cut_lineage(scan(ask, "own", load(asks, 0.0)))
     kth = near.groupBy("id").agg(F.when(F.count(F.lit(1)) >= rule.k, F.min("cosine")).alias("least"))
     bound = ask.join(kth, "id", "left").select("id", "x", F.coalesce("least", F.lit(-1.0)).cast("float").alias("least"))
-    return near.unionByName(scan(bound.mapInArrow(place("others"), row_type)))
+    return near.unionByName(scan(bound, "others", np.full(shards, float(asks))))
 
 
 def mutual(neighbours: DataFrame, id_col: str) -> DataFrame:

@@ -74,6 +74,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def drop_shuffles(df: DataFrame) -> None:
+    """Remove the shuffle files from which a checkpoint was made; ``df`` is what was given to ``cut_lineage``.
+
+    Without this they stay until the driver happens to collect its garbage.
+    """
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
+
+
 #: Inputs up to so many bytes (as the plan estimates them) may be spread over the cores.
 SPREAD_BYTES = 256 << 20
 

@@ -1,5 +1,6 @@
 import numpy as np
 
+from clausewright.llm import vptree
 from clausewright.llm.vptree import VpRule, mutual, nearest
 
 
@@ -104,3 +105,70 @@ def test_a_third_of_all_vectors_equal(spark):
         got = nearest(df, "id", "v", rule, df.where("id % 4 = 0")).collect()
         assert {(r.id, r.neighbour) for r in got} == {p for p in want if p[0] % 4 == 0}
         assert sorted((r.id, r["rank"]) for r in got) == sorted((i, n) for i in range(0, 180, 4) for n in range(1, 6))
+
+
+def test_what_travels_is_bounded():
+    """Of 2.5 million unstructured vectors each goes to nearly all shards: once 388 copies in one shuffle."""
+    from clausewright.llm.queries import PAIR_RULE
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8_192, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    for n in (59_049, 590_490, 2_500_000, 12_500_000):
+        depth = vptree._depth(n, PAIR_RULE)
+        held, asking = np.zeros(2**depth), np.zeros(2**depth)
+        router = vptree.Router(x, depth, PAIR_RULE)
+        for into, margin in ((held, 0.0), (asking, PAIR_RULE.factor * PAIR_RULE.reach)):
+            for shard, rows in router.route(x, margin):
+                into[shard - 2**depth] = len(rows) * n / len(x)
+        parts, rounds = vptree._rounds(held, asking, PAIR_RULE)
+        assert [i for r in rounds for i in r] == list(range(2**depth))
+        sent = held * parts + asking
+        assert max(sent[r.start : r.stop].sum() for r in rounds) <= max(PAIR_RULE.round_rows, PAIR_RULE.round_copies * n)
+        assert asking.sum() / n <= max(16, 2 * n / PAIR_RULE.most_shard_rows)
+        for r in rounds:
+            want = [(s, rows) for s, rows in router.route(x, 0.1) if s - 2**depth in r]
+            got = router.route(x, 0.1, range(2**depth + r.start, 2**depth + r.stop))
+            assert [s for s, _ in got] == [s for s, _ in want] and all((a == b).all() for (_, a), (_, b) in zip(got, want))
+
+
+def test_rounds_find_the_same_and_leave_no_shuffle_files(spark, monkeypatch):
+    dropped = []
+
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        all_ = disk.getAllFiles()
+        return {all_.apply(i).getName() for i in range(all_.length()) if all_.apply(i).getName().startswith("shuffle_")}
+
+    def drop(df):
+        before = files()
+        real(df)
+        dropped.append(len(before - files()))
+
+    real = vptree.drop_shuffles
+    monkeypatch.setattr(vptree, "drop_shuffles", drop)
+    ids, x = data()
+    for more in ({}, {"min_cosine": 0.9, "k": 3}, {"part_queries": 20}):
+        rule = VpRule(dim=8, leaf=10, shard_rows=40, round_rows=1, round_copies=1.0, **more)
+        dropped.clear()
+        df = frame(spark, ids, x)
+        assert {(r.id, r.neighbour) for r in nearest(df, "id", "v", rule).collect()} == brute(ids, x, rule.k, rule.min_cosine)
+        assert len(dropped) >= 4 and all(dropped)
+        got = {(r.id, r.neighbour) for r in nearest(df, "id", "v", rule, df.where("id % 4 = 0")).collect()}
+        assert got == {p for p in brute(ids, x, rule.k, rule.min_cosine) if p[0] % 4 == 0}
+
+
+def test_sketches_lose_nothing():
+    """Vectors along one axis, on which any fixed choice of entries would see nothing, and their like."""
+    rng = np.random.default_rng(5)
+    for spread in (np.ones(64), np.r_[np.full(60, 0.02), np.ones(4)], np.r_[np.ones(4), np.full(60, 0.02)]):
+        x = rng.normal(size=(3_000, 64)) * spread
+        x[1_500:] = x[:1_500] + rng.normal(size=(1_500, 64)) * spread * 0.4
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        tree = vptree.Tree(x, VpRule(min_cosine=0.85, leaf=100))
+        assert tree.heads is not None and ((tree.heads @ tree.heads.T) >= tree.rows @ tree.rows.T - vptree.Sketch.SLACK).all()
+        cos, who = tree.search(x, np.arange(3_000))
+        s = np.where(np.eye(3_000, dtype=bool), -2, x @ x.T)
+        want = -np.sort(-s, axis=1)[:, :5]
+        assert np.allclose(cos, np.where(want >= 0.85 - 1e-6, want, -2), atol=2e-6)
+    assert vptree.Tree(x, VpRule()).heads is None
