@@ -108,7 +108,7 @@ def test_a_third_of_all_vectors_equal(spark):
 
 
 def test_what_travels_is_bounded():
-    """Of 2.5 million unstructured vectors each goes to nearly all shards: once 388 copies in one shuffle."""
+    """Unstructured vectors go to most shards, of which there once were more with every doubling of the input."""
     from clausewright.llm.queries import PAIR_RULE
 
     rng = np.random.default_rng(6)
