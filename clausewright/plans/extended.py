@@ -175,7 +175,9 @@ def sca_14(spark: SparkSession, d: str) -> DataFrame:
 
 @add("sca_16_null_lists", "select chunk_id, coalesce(array_to_string(embedding[1:2]::int[], ','), '') as head from clauses")
 def sca_16(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "clauses", "chunk_id", "embedding").select("chunk_id", S.joined_list(F.transform(F.slice("embedding", 1, 2), lambda x: F.round(x, 0).cast("int").cast("string"))).alias("head"))
+    """The first two numbers as whole ones, halves to the even side. One that is no int (NaN, infinite, too large)
+    has no SQL result: it is left out of its list as a null is, and the row stays."""
+    return table(spark, d, "clauses", "chunk_id", "embedding").select("chunk_id", S.joined_list(F.transform(F.slice("embedding", 1, 2), lambda x: F.rint(x).try_cast("int").cast("string"))).alias("head"))
 
 
 @add("sca_19_sanitised", "select doc_id, length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'))::bigint as n from documents where text is not null")

@@ -457,3 +457,12 @@ def test_merge_overlay_and_footprints(spark):
     assert sorted(r.chunk_id for r in c.collect()) == sorted(r.chunk_id for r in p.collect()) == [1, 3]
     with pytest.raises(ValueError):
         M.repaired(rows, posts, 2)
+
+
+def test_numbers_that_are_no_int_leave_their_list_not_their_row(spark, tmp_path):
+    from clausewright.plans import all_queries
+
+    rows = [(1, [1.2, float("nan"), 9.0]), (2, [float("nan"), -1.6]), (3, [float("inf"), 1e10]), (4, [2.5, -0.5]), (5, [None, 3.5]), (6, None), (7, [])]
+    spark.createDataFrame(rows, "chunk_id long, embedding array<float>").write.parquet(f"{tmp_path}/clauses.parquet")
+    got = {r.chunk_id: r["head"] for r in all_queries()["sca_16_null_lists"](spark, str(tmp_path)).collect()}
+    assert got == {1: "1", 2: "-2", 3: "", 4: "2,0", 5: "4", 6: "", 7: ""}
