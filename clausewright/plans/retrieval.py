@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions import versioning as V
 from ..retrieval import arms as A
 from ..retrieval import index as I
+from ..retrieval import products as P
 from ..retrieval import search as S
 from ..session import checkpoint_dir
 from ..sources.tables import table
@@ -60,8 +61,8 @@ r as (select q.query_id, p.id, round(sum(f.idf * p.tf * 2.2::double / (p.tf + 1.
 
 @add("ret_02_bm25_clauses", _BM25.format(id="chunk_id", text="text", docs="clauses") + "select query_id, chunk_id, round(score, 6) as score, rank from (select query_id, id as chunk_id, score, row_number() over (partition by query_id order by score desc, id) as rank from r) where rank <= 10")
 def ret_02(spark: SparkSession, d: str) -> DataFrame:
-    scored = A.bm25(table(spark, d, "clauses", "chunk_id", "text"), "chunk_id", "text", table(spark, d, "search_queries"))
-    top = A.top_k(scored.withColumnRenamed("doc_id", "chunk_id"), 10, ["chunk_id"])
+    found = P.bm25_top(table(spark, d, "clauses", "chunk_id", "text"), "chunk_id", "text", table(spark, d, "search_queries"), 10)
+    top = A.top_k(found.withColumnRenamed("row_id", "chunk_id"), 10, ["chunk_id"])
     return top.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -466,3 +466,47 @@ def test_numbers_that_are_no_int_leave_their_list_not_their_row(spark, tmp_path)
     spark.createDataFrame(rows, "chunk_id long, embedding array<float>").write.parquet(f"{tmp_path}/clauses.parquet")
     got = {r.chunk_id: r["head"] for r in all_queries()["sca_16_null_lists"](spark, str(tmp_path)).collect()}
     assert got == {1: "1", 2: "-2", 3: "", 4: "2,0", 5: "4", 6: "", 7: ""}
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+@pytest.mark.parametrize("shared", [2, 90])
+def test_blocks_give_the_best_of_all_rows(monkeypatch, grouped, shared):
+    import numpy as np
+
+    from clausewright.retrieval import products as P
+
+    for name, v in (("BLOCK", 40), ("FIRST", 9), ("POSTINGS", 300)):
+        monkeypatch.setattr(P, name, v)
+    rng = np.random.default_rng(shared)
+    n, words, k = 400, shared, 5
+    w = np.round(rng.random((n, words)), 1) * (rng.random((n, words)) < 0.3)  # many equal scores, rows without a posting
+    group = np.sort(rng.integers(0, 60, n)) if grouped else np.arange(n)
+    asks = [rng.choice(words, min(words, int(rng.integers(1, 5))), replace=False) for _ in range(30)]
+    best = P.Best(P.Asked(list(range(30)), np.cumsum([0, *map(len, asks)]), np.concatenate(asks).astype(np.int32), [str(i) for i in range(words)]), k)
+    for a in range(0, n, 130):
+        row, term = np.nonzero(w[a : a + 130])
+        best.add(row, term, w[a : a + 130][row, term], np.arange(a, min(n, a + 130)), group[a : a + 130] if grouped else None, np.arange(a, min(n, a + 130)) + 1000)
+    got: dict = {}
+    for r in best.rows().to_pylist():
+        got.setdefault(r["query_id"], []).append((r["row_id"], r["score"]))
+    for q, terms in enumerate(asks):
+        s = np.round(w[:, terms].sum(1), 9)
+        want, seen = [], set()
+        for i in sorted(np.flatnonzero(s > 0), key=lambda i: (-s[i], i)):
+            if group[i] not in seen and len(want) < k:
+                seen.add(group[i])
+                want.append((i + 1000, s[i]))
+        assert got.get(q, []) == want
+
+
+def test_no_row_for_each_query_and_match_leaves_a_task(spark):
+    from clausewright.retrieval import products as P
+
+    docs = spark.createDataFrame([(i, f"node {'alpha ' * (i % 7)}{'Beta' if i % 3 else ''} x{i}" if i else None) for i in range(600)], "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "node alpha"), (2, "Node, node beta"), (3, "x17"), (4, "absent"), (5, ""), (1, "beta node")], "query_id long, query_text string")
+    got = P.bm25_top(docs, "id", "text", queries, 10)
+    assert got.count() <= got.rdd.getNumPartitions() * 3 * 10
+    alike = spark.createDataFrame([(1, "node alpha beta"), (2, "node beta"), (3, "x17"), (4, "absent")], "query_id long, query_text string")
+    want = A.top_k(A.bm25(docs, "id", "text", alike), 10, ["doc_id"])
+    rows = lambda df, c: sorted((r.query_id, r["rank"], r[c], round(r.score, 8)) for r in df.collect())
+    assert rows(A.top_k(got, 10, ["row_id"]), "row_id") == rows(want, "doc_id") and want.count() == 21
