@@ -18,6 +18,7 @@ from ..functions import text as X
 from ..functions import versioning as V
 from ..functions.text import tokens
 from ..operators import content as C
+from ..session import shuffles_dropped
 from ..sources.files import list_folders
 from .arms import K1, B, MAX_QUERY_TOKENS
 
@@ -25,9 +26,9 @@ from .arms import K1, B, MAX_QUERY_TOKENS
 BUCKETS = 64
 #: The tables and their columns, in the order of ``SearchIndex``.
 TABLES = {
-    "tokens": "token string, para_id string, tf int, dl int, bucket int",
+    "words": "token string, para_id binary, tf int, dl int, bucket int",
     "totals": "paragraphs long, words long",
-    "body_parts": "body_id string, para_id string",
+    "body_parts": "body_id string, para_id binary",
     "bodies": "body_id string, heading string, text string",
     "occurrences": "chunk_id long, spec_id string, release string, version string, clause_path string, body_id string",
     "sparse": "chunk_id long, term_id long, weight double, bucket int",
@@ -65,7 +66,7 @@ class SearchIndex:
 
 
 def index_tables(clauses: DataFrame, postings: DataFrame, dim: int, held: SearchIndex | None = None) -> dict[str, DataFrame]:
-    """What an extension adds: tokens (bucket, token, para_id, tf, dl), totals
+    """What an extension adds: words (bucket, token, para_id, tf, dl; ids of paragraphs are 16 bytes), totals
     (paragraphs, words; one row), body_parts (body_id, para_id), bodies (body_id,
     heading, text), occurrences (chunk_id and its key, body_id), sparse (bucket,
     chunk_id, term_id, weight) and vectors (body_id, chunk_id, x).
@@ -87,7 +88,7 @@ def index_tables(clauses: DataFrame, postings: DataFrame, dim: int, held: Search
     if held is not None:
         grouped = grouped.join(held.bodies.select("body_id"), "body_id", "left_anti")
         vectors = vectors.join(held.vectors.select("body_id"), "body_id", "left_anti")
-    seq = grouped.select("body_id", F.explode(F.array_distinct(F.split("text", r"\n\n", -1))).alias("part")).where("part <> ''").withColumn("para_id", C.content_id(F.col("part")))
+    seq = grouped.select("body_id", F.explode(F.array_distinct(F.split("text", r"\n\n", -1))).alias("part")).where("part <> ''").withColumn("para_id", F.unhex(C.content_id(F.col("part"))))
     parts = seq.groupBy("para_id").agg(F.first("part").alias("part"))
     if held is not None:
         parts = parts.join(held.body_parts.select("para_id"), "para_id", "left_anti")
@@ -98,7 +99,7 @@ def index_tables(clauses: DataFrame, postings: DataFrame, dim: int, held: Search
         "bodies": grouped.select("body_id", "heading", "text"),
         "body_parts": seq.select("body_id", "para_id"),
         "occurrences": rows.select("chunk_id", "spec_id", "release", "version", "clause_path", "body_id"),
-        "tokens": counted.select(bucket_of(F.col("token")).alias("bucket"), "token", "para_id", "tf", "dl"),
+        "words": counted.select(bucket_of(F.col("token")).alias("bucket"), "token", "para_id", "tf", "dl"),
         "totals": words.agg(F.count(F.lit(1)).alias("paragraphs"), F.coalesce(F.sum(F.size("ts")), F.lit(0)).alias("words")),
         "sparse": terms.select(bucket_of(F.col("term_id")).alias("bucket"), "chunk_id", "term_id", "weight"),
         "vectors": vectors,
@@ -122,14 +123,15 @@ def extend_index(clauses: DataFrame, postings: DataFrame, path: str, dim: int =
     if held is not None and tables["occurrences"].isEmpty() and tables["sparse"].isEmpty():
         return False
     gen = (gens[-1] if gens else 0) + 1
-    for name in TABLES:
-        df = tables[name]
-        if "bucket" in df.columns:
-            # a bucket is one sorted file a generation; AQE splits one that is very large
-            df = df.repartition("bucket").sortWithinPartitions("bucket", "token" if name == "tokens" else "term_id")
-            df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/gen={gen}")
-        else:
-            df.write.mode("overwrite").parquet(f"{path}/{name}/gen={gen}")
+    with shuffles_dropped(spark):  # a table's shuffle files go before the next is written
+        for name in TABLES:
+            df = tables[name]
+            if "bucket" in df.columns:
+                # a bucket is one sorted file a generation; AQE splits one that is very large
+                df = df.repartition("bucket").sortWithinPartitions("bucket", "token" if name == "words" else "term_id")
+                df.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/gen={gen}")
+            else:
+                df.write.mode("overwrite").parquet(f"{path}/{name}/gen={gen}")
     spark.range(1).write.mode("overwrite").parquet(f"{path}/marks/gen={gen}")
     return True
 

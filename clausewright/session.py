@@ -6,6 +6,8 @@ import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +84,18 @@ def drop_shuffles(df: DataFrame) -> None:
     df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are removed as soon as it has ended, as by ``drop_shuffles``, also those of writes."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
 #: Inputs up to so many bytes (as the plan estimates them) may be spread over the cores.
 SPREAD_BYTES = 256 << 20
 

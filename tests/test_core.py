@@ -510,3 +510,31 @@ def test_no_row_for_each_query_and_match_leaves_a_task(spark):
     want = A.top_k(A.bm25(docs, "id", "text", alike), 10, ["doc_id"])
     rows = lambda df, c: sorted((r.query_id, r["rank"], r[c], round(r.score, 8)) for r in df.collect())
     assert rows(A.top_k(got, 10, ["row_id"]), "row_id") == rows(want, "doc_id") and want.count() == 21
+
+
+def test_clauses_are_ranked_in_blocks_and_shuffle_files_go(spark, tmp_path, monkeypatch):
+    import gc
+    import random
+
+    from clausewright.retrieval import index as I
+    from clausewright.retrieval import search as S
+
+    r = random.Random(3)
+    parts = [" ".join(r.choice("alpha beta gamma delta node of the".split()) for _ in range(r.randint(1, 6))) for _ in range(40)]
+    rows = [(i, f"{r.randint(21, 24)}.501", f"Rel-{17 + i % 3}", f"{17 + i % 3}.{r.randint(0, 2)}.0", r.choice([None, "4", "5.1", "5.10"]), "Head", "\n\n".join(r.choices(parts, k=r.randint(1, 4)))) for i in range(300)]
+    env, as_java = spark._jsc.sc().env(), spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in as_java(env.blockManager().diskBlockManager().getAllFiles()))
+    gc.collect()
+    was = files()
+    I.extend_index(clauses(spark, rows), spark.createDataFrame([(1, 1, 1.0)], "chunk_id long, term_id long, weight float"), str(tmp_path / "i"), 2)
+    assert files() <= was
+    index = I.open_index(spark, str(tmp_path / "i"))
+    assert {len(x.para_id) for x in index.tokens.collect()} == {16}
+    q = spark.createDataFrame([(1, "alpha node"), (2, "the beta of gamma"), (3, "delta"), (4, "nothing"), (5, None)], "query_id long, query_text string")
+    monkeypatch.setattr(S, "TASK_PARAGRAPHS", 5)  # clauses lie in several tasks
+    key = lambda df: sorted((x.query_id, x["rank"], x.chunk_id, x.spec_id, str(x.clause_path), x.release, x.version, round(x.score, 8)) for x in df.collect())
+    for pool in (index, index.narrowed(release="Rel-18")):
+        got = S.lexical_arm(pool, q, 7)
+        plain = I.paragraph_scores(pool, q).join(pool.body_parts, "para_id").groupBy("query_id", "body_id").agg(F.max("score").alias("score"))
+        assert key(got) == key(S.per_clause(plain, pool, 7)) and got.count() == 21
+        assert "MapInArrow" in got._jdf.queryExecution().toString()  # pairs of queries and paragraphs are no rows
